@@ -5,8 +5,12 @@ signatures over 5-word shingles are banded; the bands are tuned so that paragrap
 probability RECALL at least. Colliding paragraphs are verified by the exact Jaccard similarity of their shingle sets, and
 verified links form components; of each component the first paragraph stays, the others are removals.
 
-No bucket emits all its pairs: members are first verified against one of them (twice, another one the second time), and only
-members that are not yet in one component are compared with each other after that, so that no link is lost.
+No bucket emits all its pairs. Its members are first verified against one of them, then against another. What larger
+buckets still hold apart is compared block against block: a task holds two blocks, counts common shingles by matrix
+products and returns links enough to join what belongs together. So no link is lost, whatever a bucket's size.
+
+Passages that sit inside different lines are found by a finer cut: chunks between local minima of a hash of word pairs, which
+fall on the same words wherever a passage stands. A run of chunks that earlier texts have too is a removal as well.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histomesh.llm.common import bound_arrow, free_name, table, with_row_id, written
@@ -28,6 +32,11 @@ SEED = 7
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles signed at once.
 CHUNK = 1 << 14
+#: Members of a block, about; shingles counted in one matrix product.
+BLOCK, COLUMNS = 512, 1 << 13
+#: A chunk starts where the hash is least among REACH words on either side; words of a run of repeated chunks at least. Such a run
+#: implies an equal stretch of RUN + 2 * REACH words.
+REACH, RUN = 5, 12
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = NOISE, chance: float = CHANCE) -> tuple[int, int]:
@@ -156,6 +165,46 @@ def _verify(threshold: float):
     return run
 
 
+def _compare(threshold: float):
+    """Links among the members of two blocks of a bucket, enough to join every pair at the threshold that is still apart."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, parts = rows.column("key").to_pylist(), rows.column("c").to_pylist()
+        sets = [_shingle_set(x.as_py()) for x in rows.column("body")]
+        number: dict = {}
+        owner, column = [], []
+        for k, own in enumerate(sets):
+            owner += [k] * len(own)
+            column += [number.setdefault(x, len(number)) for x in own]
+        owner, column = np.array(owner), np.array(column)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, len(number), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, len(number) - at)), np.float32)
+            part[owner[lo:hi], column[lo:hi] - at] = 1
+            common += part @ part.T
+        sizes = np.array([len(x) for x in sets], np.float32)
+        similar = common >= threshold * (sizes[:, None] + sizes - common) - 1e-4
+        root = {c: c for c in parts}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        left, right = [], []
+        for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
+            if (x := find(parts[i])) != (y := find(parts[j])):
+                root[x] = y
+                left.append(keys[i]), right.append(keys[j])
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+    return run
+
+
 def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """rows: uid (unique long), text. Returns every paragraph that has an equal or similar one elsewhere (same text included): uid, idx
     (line number from 0), n_words, first_uid, first_idx (of the one that stays: least uid, then line)."""
@@ -167,7 +216,7 @@ def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     distinct = written(distinct, "distinct-paragraphs")
 
     where = distinct.select("key", F.posexplode("bands").alias("band", "hash"))
-    crowded = written(where.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep")).where("n > 1").drop("n"), "buckets")
+    crowded = written(where.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("rep")).where("size > 1"), "buckets")
     members = written(where.join(crowded, ["band", "hash"]), "bucket-members")
     need = members.select("key").distinct().join(distinct.select("key", "first.uid", "first.idx"), "key")
     bodies = written(every.select("uid", "idx", "body").join(need, ["uid", "idx"]).select("key", "body"), "bodies")
@@ -178,19 +227,23 @@ def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b")
         return written(full.mapInArrow(_verify(threshold), "a binary, b binary"), "verified")
 
-    def apart(links: DataFrame) -> DataFrame:
-        """Members of buckets that still hold more than one component, with the component."""
+    def apart(links: DataFrame, least: int) -> DataFrame:
+        """Members of buckets of at least that size that still hold more than one component, with the component and another member of the bucket."""
         of = written(components(links), "paragraph-components")
-        now = written(members.select("band", "hash", "key").join(of, F.col("key") == F.col("node"), "left").select("band", "hash", "key", F.coalesce("component", "key").alias("c")), "bucket-components")
+        now = members.where(F.col("size") >= least).select("band", "hash", "size", "key")
+        now = written(now.join(of, F.col("key") == F.col("node"), "left").select("band", "hash", "size", "key", F.coalesce("component", "key").alias("c")), "bucket-components")
         split = now.groupBy("band", "hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("key").alias("rep")).where("lo <> hi").select("band", "hash", "rep")
-        return written(now.join(split, ["band", "hash"]), "split-buckets")
-
-    links = verified(members.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b")))
-    rest = apart(links)
-    links = links.union(verified(rest.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))))
-    rest = apart(links)
-    x, y = rest.select("band", "hash", F.col("key").alias("a"), F.col("c").alias("ca")), rest.select("band", "hash", F.col("key").alias("b"), F.col("c").alias("cb"))
-    links = links.union(verified(x.join(y, ["band", "hash"]).where("a < b and ca <> cb").select("a", "b")))
+        return written(now.join(written(split, "split"), ["band", "hash"]), "split-buckets")
+
+    pairs = lambda rows: rows.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    links = verified(pairs(members))
+    # in buckets of two, one comparison was all; in those of three, two members make all
+    links = links.union(verified(pairs(apart(links, 3))))
+    rest = apart(links, 4)
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    rest = rest.join(bodies, "key").withColumn("own", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    rest = rest.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "c", "body")
+    links = links.union(written(rest.groupBy("band", "hash", "i", "j").applyInArrow(_compare(threshold), "a binary, b binary"), "block-links"))
 
     of = components(links)
     named = distinct.select("key", "first", "n").join(of, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("c"))
@@ -200,6 +253,55 @@ def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     return every.select("uid", "idx", "n_words", "key").join(shared, "key").select("uid", "idx", "n_words", F.col("stays.uid").alias("first_uid"), F.col("stays.idx").alias("first_idx"))
 
 
+def cut_points(numbers: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Words at which chunks start: those whose pair with the next word hashes least among reach words on either side, all within the text."""
+    n = len(numbers)
+    if n < 2 * reach + 2:
+        return np.zeros(0, np.int64)
+    h = numbers[:-1] * _P + numbers[1:]
+    h = (h ^ h >> np.uint64(32)) * _P
+    view = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1)
+    middle = h[reach : len(h) - reach]
+    return np.flatnonzero((middle <= view.min(axis=1)) & (middle < view[:, :reach].min(axis=1))) + reach
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import re
+
+    import xxhash
+
+    find = re.compile(rb"[^\x20\x09-\x0D]+").findall
+    signer, digest = Signer(1, 1), xxhash.xxh3_64_intdigest
+    for batch in batches:
+        uids, starts, sizes, keys = [], [], [], []
+        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            words = find((text.as_py() or b"").lower())
+            cuts = cut_points(signer.numbers(words)) if words else ()
+            if len(cuts) > 1:
+                at = cuts.tolist()
+                uids += [uid] * (len(at) - 1)
+                starts += at[:-1]
+                sizes.append(np.diff(cuts))
+                keys += [digest(b" ".join(words[x:y])) for x, y in zip(at, at[1:], strict=False)]
+        size = pa.array(np.concatenate(sizes) if sizes else [], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(starts, pa.int32()), size, pa.array(np.array(keys, np.uint64).view(np.int64))], ["uid", "start", "n_words", "key"])
+
+
+def passages(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """rows: uid, text. Returns each run of chunks that an earlier row (lesser uid) or a later one has too: uid, start, stop (words of the text,
+    stop excluded), first_uid (of the earliest row that has its first chunk). Chunks are compared by 64-bit hash."""
+    chunks = written(rows.select("uid", F.col("text").cast("string")).mapInArrow(_chunks, "uid long, start int, n_words int, key long"), "chunks")
+    again = chunks.groupBy("key").agg(F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid")).where("first_uid <> last_uid").select("key", "first_uid")
+    both = chunks.join(written(again, "shared-chunks"), "key").withColumn("stop", F.col("start") + F.col("n_words"))
+    # a text's own chunks: runs are broken where one does not start at the end of the one before, or where removal begins or ends
+    w = Window.partitionBy("uid").orderBy("start")
+    both = both.withColumn("gone", F.col("uid") != F.col("first_uid"))
+    fresh = (F.lag("stop").over(w).isNull() | (F.lag("stop").over(w) != F.col("start")) | (F.lag("gone").over(w) != F.col("gone"))).cast("int")
+    runs = both.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
+    runs = runs.groupBy("uid", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_uid", "start").alias("first_uid"))
+    return runs.where(F.col("stop") - F.col("start") >= run).select("uid", "start", "stop", "first_uid")
+
+
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "uid")
 
@@ -208,37 +310,71 @@ REMOVED = "(uid <> first_uid or idx <> first_idx)"
 
 
 def shared_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, class_id (least id reachable over paragraphs shared with other documents; its own if none), n_paragraphs
-    shared with another row or line, n_removed of them that are not their cluster's first, words_removed.
+    """Per row of docs: id, class_id (least id reachable over paragraphs and passages shared with other documents; its own if none), n_paragraphs
+    shared with another row or line, n_removed of them that are not their cluster's first, n_passages (runs of chunks that another row has too),
+    n_passages_removed of them that an earlier row has.
 
     Null and empty texts have no paragraphs. Which paragraph stays is settled by row order in the scan, then line. Repeated rows share all
     their paragraphs; null ids have class null and link nothing. Only the two columns named are read."""
     rows = _ordered(docs, id_col, text_col)
-    found = written(clusters(rows), "shared-paragraphs")
+    lines, runs = written(clusters(rows), "shared-paragraphs"), written(passages(rows), "shared-passages")
     ids = rows.select("uid", "id")
     first = ids.select(F.col("uid").alias("first_uid"), F.col("id").alias("first_id"))
-    pairs = found.where("uid <> first_uid").select("uid", "first_uid").distinct().join(first, "first_uid").join(ids, "uid")
+    pairs = lines.select("uid", "first_uid").union(runs.select("uid", "first_uid")).where("uid <> first_uid").distinct().join(first, "first_uid").join(ids, "uid")
     reach = written(components(pairs.select(F.col("id").alias("a"), F.col("first_id").alias("b"))), "document-components")
-    per = found.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.expr(f"count_if{REMOVED}").alias("r"), F.expr(f"sum(if({REMOVED}, n_words, 0))").alias("w"))
-    out = ids.join(per, "uid", "left").join(reach, F.col("id") == F.col("node"), "left")
+    per_line = lines.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.expr(f"count_if{REMOVED}").alias("r"))
+    per_run = runs.groupBy("uid").agg(F.count(F.lit(1)).alias("p"), F.expr("count_if(uid <> first_uid)").alias("q"))
+    out = ids.join(per_line, "uid", "left").join(per_run, "uid", "left").join(reach, F.col("id") == F.col("node"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select("id", F.coalesce("component", "id").alias("class_id"), zero("n").alias("n_paragraphs"), zero("r").alias("n_removed"), zero("w").alias("words_removed"))
+    return out.select("id", F.coalesce("component", "id").alias("class_id"), zero("n").alias("n_paragraphs"), zero("r").alias("n_removed"), zero("p").alias("n_passages"), zero("q").alias("n_passages_removed"))
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document. A document with n_paragraphs = 0 shares no passage."""
+    """One row a document. A document with n_paragraphs = 0 and n_passages = 0 shares no passage."""
     return shared_paragraphs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _without(text: bytes, lines: set[int], spans: list[tuple[int, int]]) -> bytes:
+    """text less the lines and the stretches of words given; line breaks beside what stays are kept."""
+    import re
+
+    out, at = [], 0
+    spans = sorted(spans)
+    for idx, line in enumerate(text.split(b"\n")):
+        words = list(re.finditer(rb"[^\x20\x09-\x0D]+", line))
+        gone = [any(a <= at + k < b for a, b in spans if a < at + len(words) and b > at) for k in range(len(words))]
+        at += len(words)
+        if idx in lines or words and all(gone):
+            continue
+        if any(gone):
+            stay, since = [], 0
+            for m, g in zip(words, gone, strict=True):
+                if g:
+                    stay.append(line[since : m.start()].rstrip())
+                    since = m.end()
+            line = b" ".join(x.strip() for x in [*stay, line[since:]] if x.strip())
+        out.append(line)
+    return b"\n".join(out)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, lines, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            texts.append(_without(text.as_py(), set(lines or ()), [(x["start"], x["stop"]) for x in spans or ()]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["uid", "text"])
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every paragraph that repeats an earlier one taken out of its text; a text of nothing but such paragraphs (and blank lines)
-    goes with its row. Rows without repeats, null texts among them, are unchanged. chars_col, if there, is counted anew."""
-    uid, gone = free_name(docs, "row_uid"), free_name(docs, "lines_gone")
+    """docs with every paragraph and passage that repeats an earlier one taken out of its text; a text of nothing but such goes with its
+    row. Rows without repeats, null texts among them, are unchanged. chars_col, if there, is counted anew."""
+    uid, cut = free_name(docs, "row_uid"), free_name(docs, "text_cut")
     rows = with_row_id(docs, uid)
-    found = clusters(rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text")))
-    per = written(found.where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias(gone)).withColumnRenamed("uid", uid), "removals")  # a text's own lines
-    both = rows.join(per, uid, "left")
-    lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    out = both.withColumn(text_col, text).where(F.col(gone).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop(uid, gone)
+    plain = rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text"))
+    lines = clusters(plain).where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias("lines"))  # a text's own lines
+    runs = passages(plain).where("uid <> first_uid").groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
+    gone = written(lines.join(runs, "uid", "full_outer"), "removals")
+    texts = written(plain.join(gone, "uid").select("uid", "text", "lines", "spans").mapInArrow(_cut, "uid long, text string"), "cut-texts")
+    both = rows.join(texts.select(F.col("uid").alias(uid), F.col("text").alias(cut)), uid, "left")
+    out = both.withColumn(text_col, F.coalesce(cut, text_col)).where(F.col(cut).isNull() | F.col(cut).rlike(r"[^\x20\x09-\x0D]")).drop(uid, cut)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
