@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -357,24 +358,32 @@ def _without(text: bytes, lines: set[int], spans: list[tuple[int, int]]) -> byte
     return b"\n".join(out)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, lines, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            texts.append(_without(text.as_py(), set(lines or ()), [(x["start"], x["stop"]) for x in spans or ()]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["uid", "text"])
+def _cut():
+    """text less lines and spans; null for a null text. Only the texts that lose something go to Python."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, lines: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, gone, stretches in zip(text, lines, spans, strict=True):
+            at = [(x["start"], x["stop"]) for x in stretches] if stretches is not None else []
+            out.append(None if t is None else _without(t.encode(), set() if gone is None else {int(x) for x in gone}, at).decode())
+        return pd.Series(out, dtype=object)
+
+    return cut
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with every paragraph and passage that repeats an earlier one taken out of its text; a text of nothing but such goes with its
     row. Rows without repeats, null texts among them, are unchanged. chars_col, if there, is counted anew."""
-    uid, cut = free_name(docs, "row_uid"), free_name(docs, "text_cut")
+    uid, cut, lines_col, spans_col = (free_name(docs, n) for n in ("row_uid", "text_cut", "lines_gone", "spans_gone"))
     rows = with_row_id(docs, uid)
     plain = rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text"))
     lines = clusters(plain).where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias("lines"))  # a text's own lines
     runs = passages(plain).where("uid <> first_uid").groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
     gone = written(lines.join(runs, "uid", "full_outer"), "removals")
-    texts = written(plain.join(gone, "uid").select("uid", "text", "lines", "spans").mapInArrow(_cut, "uid long, text string"), "cut-texts")
-    both = rows.join(texts.select(F.col("uid").alias(uid), F.col("text").alias(cut)), uid, "left")
-    out = both.withColumn(text_col, F.coalesce(cut, text_col)).where(F.col(cut).isNull() | F.col(cut).rlike(r"[^\x20\x09-\x0D]")).drop(uid, cut)
+    # texts are joined once; the cut ones are told by a non-null list
+    both = rows.join(gone.select(F.col("uid").alias(uid), F.col("lines").alias(lines_col), F.col("spans").alias(spans_col)), uid, "left")
+    lost = F.col(lines_col).isNotNull() | F.col(spans_col).isNotNull()
+    both = both.withColumn(cut, _cut()(F.when(lost, F.col(text_col)), F.col(lines_col), F.col(spans_col)))
+    out = both.withColumn(text_col, F.when(lost, F.col(cut)).otherwise(F.col(text_col))).where(~lost | F.col(cut).rlike(r"[^\x20\x09-\x0D]")).drop(uid, cut, lines_col, spans_col)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

@@ -171,6 +171,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = written(fingerprints(rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), F.col(uid).alias("u")).alias("k"), F.col(text_col).alias("t")), "k", "t"), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fp")
     reach = components(links(distinct.select("fp")))
-    group = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("least", F.coalesce("component", "fp").alias("root"))
-    stay = written(group.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.u").alias(uid)), "survivors")
-    return rows.join(stay, uid, "left_semi").drop(uid)
+    group = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+    stay = group.groupBy("root").agg(F.min("least").alias("k"))
+    named = written(group.join(stay, "root").select("fp", "k"), "survivors")
+    # the rows that go: fewer than those that stay, so the side that is joined to whole texts is the smaller one
+    gone = written(prints.join(named, "fp").where("id <> k").select(F.col("id.u").alias(uid)), "near-copies")
+    return rows.join(gone, uid, "left_anti").drop(uid)
