@@ -41,6 +41,8 @@ class Trees:
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
         self.langs, self.order = sorted(texts), order
+        if not self.langs:
+            return
         counts = []
         for lang in self.langs:
             own = {}
@@ -145,6 +147,8 @@ class Trees:
     def total_bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of every text under every language; memory is bounded by CHUNK, whatever the texts' length."""
         out = np.zeros((len(texts), len(self.langs)))
+        if not self.langs:
+            return out
         sizes = np.array([len(t) for t in texts], np.int64)
         k = 0
         while k < len(texts):

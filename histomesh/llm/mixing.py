@@ -16,7 +16,7 @@ from histomesh.llm.common import WORD, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-#: Words that the knapsack may be left to fit beyond the longest length; documents in a hash bucket, about.
+#: Words of the budget that are left to the knapsack at least (all of a smaller budget); documents in a hash bucket, about.
 ROOM, BUCKET = 4096, 512
 
 
@@ -40,7 +40,7 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total or not total:
         return list(counts)
-    take = [budget * c // total for c in counts]
+    take = [max(0, budget - ROOM) * c // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
