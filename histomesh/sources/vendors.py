@@ -57,7 +57,7 @@ def matrix_market(spark: SparkSession, folder: str) -> DataFrame:
     """cell, gene, value of a 10x folder (genes x cells in matrix.mtx.gz; the gene's name is the second column of features.tsv.gz). Counts stay exact and sparse."""
 
     def numbered(name: str, column: int) -> DataFrame:
-        lines = spark.read.text(f"{folder}/{name}", wholetext=True).select(F.posexplode(F.split(F.rtrim(F.lit("\n"), F.col("value")), "\r?\n")).alias("i", "line"))
+        lines = spark.read.text(f"{folder}/{name}", wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\r?\n")).alias("i", "line"))
         return lines.select((F.col("i") + 1).alias("i"), F.get(F.split("line", "\t"), column).alias("name"))
 
     rows = spark.read.text(f"{folder}/matrix.mtx.gz").where(~F.startswith("value", F.lit("%"))).select(F.split(F.trim("value"), r"\s+").alias("p"))
