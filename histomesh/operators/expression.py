@@ -57,6 +57,14 @@ def select_genes(expr: DataFrame, genes: list[str]) -> DataFrame:
     return expr.where(F.col("gene").isin(genes))
 
 
+def select_cells(expr: DataFrame, cells: list) -> DataFrame:
+    """The rows of the cells given, with pos, their place in the list; a cell listed twice comes twice, an unknown one raises."""
+    wanted = expr.sparkSession.createDataFrame([(c, k) for k, c in enumerate(cells)], f"cell {expr.schema['cell'].dataType.simpleString()}, pos long")
+    if not wanted.join(expr.select("cell").distinct(), "cell", "left_anti").isEmpty():
+        raise ValueError("no such cells")
+    return expr.join(F.broadcast(wanted), "cell")  # as long as the caller's list
+
+
 def by_cluster(expr: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, gene, mean and expressing share over all cells of the cluster (unstored zeros included)."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,9 @@ from histomesh.operators import cells as ct
 from histomesh.operators import embedding as em
 from histomesh.operators import expression as ex
 from histomesh.operators import graphs as gr
+from histomesh.operators import layout as lo
 from histomesh.operators import patterns as pt
+from histomesh.operators import plots as pl
 from histomesh.operators import shapes as sh
 from histomesh.plans import adapters as ad
 from histomesh.sources.catalog import ResultCatalog, checkpointed
@@ -85,6 +87,9 @@ query("expr_log1p", f"{_X} select cell, gene, {r('ln(1 + value)', 'value')} from
 query("expr_select_genes", f"{_X} select cell, gene, value from expr where gene in (select distinct p_name from part order by 1 limit 5)")(
     lambda s, d: ex.select_genes(ad.expression(s, d), [x.p_name for x in ad.read(s, d, "part").select("p_name").distinct().orderBy("p_name").limit(5).collect()])
 )
+query("expr_select_cells", f"{_X} select cell, gene, value, pos from expr join (select c_custkey as cell, row_number() over (order by c_custkey desc) - 1 as pos from customer where c_custkey in (select o_custkey from orders join lineitem on o_orderkey = l_orderkey) order by c_custkey desc limit 7) using (cell)")(
+    lambda s, d: ex.select_cells(ad.expression(s, d), [x.cell for x in ad.expression(s, d).select("cell").distinct().orderBy(F.desc("cell")).limit(7).collect()])
+)
 _HVG = f"""{_X}, l as (select cell, gene, ln(1 + value) as value from expr), n as (select count(distinct cell) as n from l),
 m as (select gene, sum(value) / any_value(n.n) as mean, (sum(value * value) - sum(value) * sum(value) / any_value(n.n)) / (any_value(n.n) - 1) as variance from l, n group by gene),
 h as (select *, variance / mean as dispersion, row_number() over (order by variance / mean desc, gene) <= 20 as highly_variable from m)"""
@@ -285,6 +290,18 @@ query(
 )(lambda s, d: sh.cell_morphology(ad.boxes(s, d)).drop("eccentricity", "fractal_dimension"))
 query("cell_morphology")(lambda s, d: sh.cell_morphology(ad.boxes(s, d)))
 
+# --- what plots draw: at most 100000 cells, which is every cell of the tables that the SQL is compared on ---
+query("plot_spatial_scatter", f"{_C} select cell_id, {r('x', 'x')}, {r('y', 'y')}, cluster as value, true as categorical from cells where x between 10 and 500 and y between 20 and 300")(
+    lambda s, d: pl.spatial_scatter(ad.cells(s, d), ad.clusters(s, d), "cluster", (10, 500), (20, 300))
+)
+query("plot_spatial_polygons", f"{_B}, t as (select p_partkey::varchar as cell_id, p_type from part) select cell_id, p_type as value, true as categorical from boxes join t using (cell_id) where x_max >= 100 and x_min <= 300 and y_max >= 20 and y_min <= 150")(
+    lambda s, d: pl.spatial_polygons(ad.boxes(s, d), ad.boxes(s, d).select("cell_id", F.col("cluster").alias("kind")), "kind", (100, 300), (20, 150)).drop("ring")
+)
+query("plot_scatter", f"with {ad.EMB_SQL} select cell_id, {r('v[1]', 'x')}, {r('v[2]', 'y')}, label as value, true as categorical from emb")(lambda s, d: pl.scatter(ad.embedding(s, d).select("cell_id", "v"), ad.embedding(s, d), "label"))
+query("plot_spatial_expression", f"{_C}, {ad.EXPR_SQL} select c.cell_id, {r('x', 'x')}, {r('y', 'y')}, {r('coalesce(e.value, 0)', 'value')}, false as categorical from cells c left join (select * from expr where gene = (select min(p_name) from part)) e on e.cell::varchar = c.cell_id")(
+    lambda s, d: pl.spatial_expression(ad.cells(s, d), ad.expression(s, d), ad.read(s, d, "part").agg(F.min("p_name")).first()[0])
+)
+
 # --- embeddings ---
 _V = f"with {ad.EMB_SQL}"
 _NEAR = lambda k: f"{_V}, near as (select a.cell_id, unnest(arg_min(b.cell_id, list_distance(a.v, b.v), {k})) as other from emb a join emb b on a.cell_id <> b.cell_id group by a.cell_id)"
@@ -301,6 +318,9 @@ query("emb_ward")(lambda s, d: em.hierarchical(ad.embedding(s, d), 10))
 query("emb_leiden")(lambda s, d: em.modularity_clusters(ad.embedding(s, d)))
 query("emb_louvain")(lambda s, d: em.modularity_clusters(ad.embedding(s, d), refine=False))
 query("emb_diffmap")(lambda s, d: em.diffmap(ad.embedding(s, d)))
+query("emb_umap")(lambda s, d: lo.umap(ad.embedding(s, d)))
+query("emb_tsne")(lambda s, d: lo.tsne(ad.embedding(s, d)))
+query("emb_fuzzy_graph")(lambda s, d: lo.fuzzy_graph(ad.embedding(s, d).select("cell_id", "v"), 15))
 query("emb_magic")(lambda s, d: em.magic(ad.embedding(s, d)))
 query("emb_alra")(lambda s, d: em.alra(ad.embedding(s, d)))
 query("emb_harmony")(lambda s, d: em.harmony(ad.embedding(s, d).select("cell_id", "v"), ad.embedding(s, d).select("cell_id", (F.col("label") % 3).alias("batch"))))
