@@ -38,6 +38,8 @@ BLOCK, COLUMNS = 512, 1 << 13
 #: A chunk starts where the hash is least among REACH words on either side; words of a run of repeated chunks at least. Such a run
 #: implies an equal stretch of RUN + 2 * REACH words.
 REACH, RUN = 5, 12
+#: Bytes of removals, as they lie in memory, that are sent to every executor at most; larger lists are joined by a shuffle.
+SENT = 32 << 20
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = NOISE, chance: float = CHANCE) -> tuple[int, int]:
@@ -381,6 +383,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | Non
     lines = clusters(plain).where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias("lines"))  # a text's own lines
     runs = passages(plain).where("uid <> first_uid").groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
     gone = written(lines.join(runs, "uid", "full_outer"), "removals")
+    entries = F.coalesce(F.size("lines"), F.lit(0)) * 8 + F.coalesce(F.size("spans"), F.lit(0)) * 32
+    if (gone.agg(F.sum(entries + 96)).first()[0] or 0) <= SENT:
+        gone = F.broadcast(gone)  # of checked size; the texts then stay where they are
     # texts are joined once; the cut ones are told by a non-null list
     both = rows.join(gone.select(F.col("uid").alias(uid), F.col("lines").alias(lines_col), F.col("spans").alias(spans_col)), uid, "left")
     lost = F.col(lines_col).isNotNull() | F.col(spans_col).isNotNull()

@@ -308,6 +308,9 @@ def test_paragraphs(spark, odd):
     left = {x.doc_id: x for x in paragraphs.remove_repeats(docs).collect()}
     assert left[0].text == texts[0] and all(left[i].text == texts[i] for i in range(6, 12))
     assert all(len(left[i].text.split()) <= 75 and left[i].n_chars == len(left[i].text) for i in range(1, 6))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(paragraphs, "SENT", -1)  # removals joined by a shuffle
+        assert {x.doc_id: x for x in paragraphs.remove_repeats(docs).collect()} == left
     kept = paragraphs.remove_repeats(odd)
     assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "2", "3", "4", "5", "None"]
     assert paragraphs.shared_paragraphs(odd.limit(0)).count() == 0
