@@ -17,6 +17,7 @@ from histomesh.operators import layout as lo
 from histomesh.operators import patterns as pt
 from histomesh.operators import plots as pl
 from histomesh.operators import shapes as sh
+from histomesh.operators import vae as va
 from histomesh.plans import adapters as ad
 from histomesh.sources.catalog import ResultCatalog, checkpointed
 
@@ -126,6 +127,10 @@ query("expr_violin_quantiles", f"{_X}, {ad.SEGMENT_SQL} select cluster, gene, "
     lambda s, d: ex.quantiles(ad.expression(s, d), ad.segments(s, d))
 )
 
+_batches = lambda s, d: ad.read(s, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("batch"))
+query("expr_vae_latent")(lambda s, d: va.vae_batch(ad.expression(s, d), _batches(s, d), n_latent=10, n_epochs=20)[0])
+query("expr_vae_impute")(lambda s, d: va.vae_impute(ad.expression(s, d), n_latent=10, n_epochs=20))
+
 # --- graphs ---
 query("radius_graph", f"{_E} select cell_id_a, cell_id_b, {r('distance', 'distance')} from edges")(_graph)
 query(
