@@ -55,6 +55,11 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number, written together: every later scan reads the same number for a row, whatever executors there are by then."""
+    return written(with_row_id(df, name), "numbered")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores in front if df has such a column."""
     have = {c.lower() for c in df.columns}

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import bound_arrow, free_name, table, with_row_id, written
+from histomesh.llm.common import bound_arrow, free_name, numbered, table, with_row_id, written
 from histomesh.llm.components import components
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 30
 #: Chance at least that a pair at the threshold collides, chance at most that one at NOISE does.
 RECALL, NOISE, CHANCE = 0.999, 0.1, 0.1
+#: The same for whole texts, of which more share a little.
+WHOLE_NOISE = 0.25
 SEED = 7
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles signed at once.
@@ -103,7 +105,7 @@ class Signer:
         return out.view(np.int64)
 
 
-def _paragraphs(bands: int, rows: int, min_words: int):
+def _paragraphs(bands: int, rows: int, min_words: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
@@ -122,7 +124,8 @@ def _paragraphs(bands: int, rows: int, min_words: int):
         held, size = [], 0
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                for idx, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
+                body = (text.as_py() or b"").lower()
+                for idx, line in enumerate([body] if whole else body.split(b"\n")):
                     words = find(line)
                     if len(words) < min_words:
                         continue
@@ -208,12 +211,12 @@ def _compare(threshold: float):
     return run
 
 
-def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """rows: uid (unique long), text. Returns every paragraph that has an equal or similar one elsewhere (same text included): uid, idx
-    (line number from 0), n_words, first_uid, first_idx (of the one that stays: least uid, then line)."""
+    (line number from 0), n_words, first_uid, first_idx (of the one that stays: least uid, then line). whole: a text is one paragraph."""
     bound_arrow(rows.sparkSession)
-    bands, per_band = tune(threshold)
-    found = rows.select("uid", F.col("text").cast("string")).mapInArrow(_paragraphs(bands, per_band, min_words), "uid long, idx int, n_words int, key binary, bands array<long>, body binary")
+    bands, per_band = tune(threshold, noise=WHOLE_NOISE if whole else NOISE)
+    found = rows.select("uid", F.col("text").cast("string")).mapInArrow(_paragraphs(bands, per_band, min_words, whole), "uid long, idx int, n_words int, key binary, bands array<long>, body binary")
     every = written(found, "paragraphs")
     distinct = every.groupBy("key").agg(F.min(F.struct("uid", "idx")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     distinct = written(distinct, "distinct-paragraphs")
@@ -309,6 +312,20 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "uid")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without all but one row of each group of texts linked by an exact Jaccard similarity of threshold or more on 5-word shingles: the
+    one with the least id (nulls last). A text of fewer words is one shingle; null, empty and blank texts are equal."""
+    uid = free_name(docs, "row_uid")
+    rows = numbered(docs, uid)
+    like = written(clusters(rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text")), threshold, 0, whole=True).select("uid", "first_uid"), "near-copies")
+    # a row that has near copies, with its id
+    keys = rows.select(F.col(uid).alias("uid"), F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), F.col(uid).alias("u")).alias("k"))
+    named = written(like.join(keys, "uid"), "near-copy-ids")
+    stay = named.groupBy("first_uid").agg(F.min("k").alias("stays"))
+    gone = written(named.join(stay, "first_uid").where("k <> stays").select(F.col("uid").alias(uid)), "near-copies-gone")
+    return rows.join(gone, uid, "left_anti").drop(uid)
+
+
 REMOVED = "(uid <> first_uid or idx <> first_idx)"
 
 
