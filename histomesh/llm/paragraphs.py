@@ -9,8 +9,8 @@ No bucket emits all its pairs. Its members are first verified against one of the
 buckets still hold apart is compared block against block: a task holds two blocks, counts common shingles by matrix
 products and returns links enough to join what belongs together. So no link is lost, whatever a bucket's size.
 
-Passages that sit inside different lines are found by a finer cut: chunks between local minima of a hash of word pairs, which
-fall on the same words wherever a passage stands. A run of chunks that earlier texts have too is a removal as well.
+Passages that sit inside different lines are found by winnowed stretches of words, which fall on the same words wherever a
+passage stands. Each is extended word by word against one earlier text that has it; what that text has too is a removal as well.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import bound_arrow, free_name, numbered, table, with_row_id, written
+from histomesh.llm.common import bound_arrow, free_name, numbered, table, written
 from histomesh.llm.components import components
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 30
@@ -37,9 +37,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 14
 #: Members of a block, about; shingles counted in one matrix product.
 BLOCK, COLUMNS = 512, 1 << 13
-#: A chunk starts where the hash is least among REACH words on either side; words of a run of repeated chunks at least. Such a run
-#: implies an equal stretch of RUN + 2 * REACH words.
-REACH, RUN = 5, 12
+#: Words of a passage at least; of so many successive stretches of that length one is a mark. Every equal stretch of 40 words is found.
+LEAST = 22
+WINDOW = 40 - LEAST + 1
 #: Bytes of removals, as they lie in memory, that are sent to every executor at most; larger lists are joined by a shuffle.
 SENT = 32 << 20
 
@@ -259,57 +259,117 @@ def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     return every.select("uid", "idx", "n_words", "key").join(shared, "key").select("uid", "idx", "n_words", F.col("stays.uid").alias("first_uid"), F.col("stays.idx").alias("first_idx"))
 
 
-def cut_points(numbers: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Words at which chunks start: those whose pair with the next word hashes least among reach words on either side, all within the text."""
-    n = len(numbers)
-    if n < 2 * reach + 2:
-        return np.zeros(0, np.int64)
-    h = numbers[:-1] * _P + numbers[1:]
+def _powers(n: int, known: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The first n powers of _P and of its inverse, modulo 2^64."""
+    if not known or len(known[0]) < n:
+        step = np.full(max(n, 1 << 12), _P)
+        back = np.full(len(step), np.uint64(pow(int(_P), -1, 1 << 64)))
+        step[0] = back[0] = 1
+        known[:] = [np.multiply.accumulate(step), np.multiply.accumulate(back)]
+    return known[0][:n], known[1][:n]
+
+
+def marks(numbers: np.ndarray, least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the stretches of least words picked by winnowing: of any window successive ones the one of least hash. An equal
+    stretch of least + window - 1 words has a common mark, whatever its words. Overlapping equal marks (a repeated word) count once."""
+    m = len(numbers) - least + 1
+    if m < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = _powers(len(numbers))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers * up)])
+    h = (sums[least:] - sums[:m]) * down[:m]
     h = (h ^ h >> np.uint64(32)) * _P
-    view = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1)
-    middle = h[reach : len(h) - reach]
-    return np.flatnonzero((middle <= view.min(axis=1)) & (middle < view[:, :reach].min(axis=1))) + reach
+    h ^= h >> np.uint64(29)
+    if m <= window:
+        at = np.array([h.argmin()])
+    else:
+        at = np.arange(m - window + 1) + np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
+        at = np.unique(at)
+    key = h[at]
+    # runs of equal marks that overlap: one for each least words
+    first = np.ones(len(at), bool)
+    first[1:] = (key[1:] != key[:-1]) | (np.diff(at) >= least)
+    part = (at - at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]) // least
+    keep = first.copy()
+    keep[1:] |= part[1:] != part[:-1]
+    return at[keep], key[keep]
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import re
 
+    find = re.compile(rb"[^\x20\x09-\x0D]+").findall
+    signer = Signer(1, 1)
+    for batch in batches:
+        uids, sizes, starts, keys = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            at, key = marks(signer.numbers(find((text.as_py() or b"").lower())))
+            uids.append(uid), sizes.append(len(at)), starts.append(at), keys.append(key)
+        uid = np.repeat(np.array(uids, np.int64), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], ["uid", "start", "key"])
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
 
-    import xxhash
+def stretches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(start in x, stop in x, start in y) of the longest equal stretches around the seeds, those of least words or more."""
+    out, upto = [], {}
+    for i, j in sorted(seeds):
+        if i < upto.get(i - j, 0):
+            continue
+        n, back = min(len(x) - i, len(y) - j), min(i, j)
+        differs = x[i : i + n] != y[j : j + n]
+        right = int(differs.argmax()) if differs.any() else n
+        differs = x[i - back : i][::-1] != y[j - back : j][::-1]
+        left = int(differs.argmax()) if differs.any() else back
+        upto[i - j] = i + max(right, 1)
+        if left + right >= least:
+            out.append((i - left, i + right, j - left))
+    return out
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import re
 
     find = re.compile(rb"[^\x20\x09-\x0D]+").findall
-    signer, digest = Signer(1, 1), xxhash.xxh3_64_intdigest
+    signer = Signer(1, 1)
+    last, other = None, None
     for batch in batches:
-        uids, starts, sizes, keys = [], [], [], []
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            words = find((text.as_py() or b"").lower())
-            cuts = cut_points(signer.numbers(words)) if words else ()
-            if len(cuts) > 1:
-                at = cuts.tolist()
-                uids += [uid] * (len(at) - 1)
-                starts += at[:-1]
-                sizes.append(np.diff(cuts))
-                keys += [digest(b" ".join(words[x:y])) for x, y in zip(at, at[1:], strict=False)]
-        size = pa.array(np.concatenate(sizes) if sizes else [], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(starts, pa.int32()), size, pa.array(np.array(keys, np.uint64).view(np.int64))], ["uid", "start", "n_words", "key"])
-
-
-def passages(rows: DataFrame, run: int = RUN) -> DataFrame:
-    """rows: uid, text. Returns each run of chunks that an earlier row (lesser uid) or a later one has too: uid, start, stop (words of the text,
-    stop excluded), first_uid (of the earliest row that has its first chunk). Chunks are compared by 64-bit hash."""
-    chunks = written(rows.select("uid", F.col("text").cast("string")).mapInArrow(_chunks, "uid long, start int, n_words int, key long"), "chunks")
-    again = chunks.groupBy("key").agg(F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid")).where("first_uid <> last_uid").select("key", "first_uid")
-    both = chunks.join(written(again, "shared-chunks"), "key").withColumn("stop", F.col("start") + F.col("n_words"))
-    # a text's own chunks: runs are broken where one does not start at the end of the one before, or where removal begins or ends
-    w = Window.partitionBy("uid").orderBy("start")
-    both = both.withColumn("gone", F.col("uid") != F.col("first_uid"))
-    fresh = (F.lag("stop").over(w).isNull() | (F.lag("stop").over(w) != F.col("start")) | (F.lag("gone").over(w) != F.col("gone"))).cast("int")
-    runs = both.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    runs = runs.groupBy("uid", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_uid", "start").alias("first_uid"))
-    return runs.where(F.col("stop") - F.col("start") >= run).select("uid", "start", "stop", "first_uid")
+        rows = []
+        columns = [batch.column(k).to_pylist() for k in range(3)]
+        for uid, first, seeds, text, early in zip(*columns, batch.column(3).cast(pa.binary()), batch.column(4).cast(pa.binary()), strict=True):
+            if first != last:
+                last, other = first, signer.numbers(find(early.as_py().lower()))
+            own = signer.numbers(find(text.as_py().lower()))
+            for start, stop, at in stretches(own, other, [(x["start"], x["at"]) for x in seeds]):
+                rows += [(uid, start, stop, first), (first, at, at + stop - start, first)]
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["uid", "start", "stop", "first_uid"])
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """rows: uid, text. Returns the stretches of LEAST words or more that a row and an earlier one (lesser uid) have in common: uid, start, stop
+    (words of the text, stop excluded), first_uid (the earlier row). Each is compared word by word with that row and as long as can be; the
+    earlier row has its own (first_uid = uid). Every equal stretch of LEAST + WINDOW - 1 words has a mark that names the earliest row with that
+    mark, so rows that share one are linked through rows that truly share LEAST words. Words are compared by 64-bit hash."""
+    found = written(rows.select("uid", F.col("text").cast("string")).mapInArrow(_marked, "uid long, start int, key long"), "marks")
+    again = found.groupBy("key").agg(F.min(F.struct("uid", "start")).alias("first"), F.max("uid").alias("last")).where("first.uid <> last")
+    again = written(again.select("key", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("at")), "shared-marks")
+    seeds = found.join(again, "key").where("uid <> first_uid").groupBy("uid", "first_uid").agg(F.collect_list(F.struct("start", "at")).alias("seeds"))  # a text's own marks
+    seeds = written(seeds, "seeds")
+    text, early = rows.select("uid", F.col("text").cast("string").alias("text")), rows.select(F.col("uid").alias("first_uid"), F.col("text").cast("string").alias("early"))
+    full = seeds.join(text, "uid").join(early, "first_uid").select("uid", "first_uid", "seeds", "text", "early")
+    return full.mapInArrow(_extend, "uid long, start int, stop int, first_uid long").distinct()
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """uid, start, stop: the stretches of each row, those that overlap or touch as one."""
+    w = Window.partitionBy("uid").orderBy("start", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.select("uid", "start", "stop", F.coalesce(F.col("start") > before, F.lit(True)).cast("int").alias("fresh"))
+    return fresh.withColumn("run", F.sum("fresh").over(w)).groupBy("uid", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "uid")
+    return numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "uid")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -331,8 +391,8 @@ REMOVED = "(uid <> first_uid or idx <> first_idx)"
 
 def shared_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, class_id (least id reachable over paragraphs and passages shared with other documents; its own if none), n_paragraphs
-    shared with another row or line, n_removed of them that are not their cluster's first, n_passages (runs of chunks that another row has too),
-    n_passages_removed of them that an earlier row has.
+    shared with another row or line, n_removed of them that are not their cluster's first, n_passages (stretches that another row has too, overlapping ones as one),
+    n_passages_removed (the same of those that an earlier row has).
 
     Null and empty texts have no paragraphs. Which paragraph stays is settled by row order in the scan, then line. Repeated rows share all
     their paragraphs; null ids have class null and link nothing. Only the two columns named are read."""
@@ -343,8 +403,9 @@ def shared_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = lines.select("uid", "first_uid").union(runs.select("uid", "first_uid")).where("uid <> first_uid").distinct().join(first, "first_uid").join(ids, "uid")
     reach = written(components(pairs.select(F.col("id").alias("a"), F.col("first_id").alias("b"))), "document-components")
     per_line = lines.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.expr(f"count_if{REMOVED}").alias("r"))
-    per_run = runs.groupBy("uid").agg(F.count(F.lit(1)).alias("p"), F.expr("count_if(uid <> first_uid)").alias("q"))
-    out = ids.join(per_line, "uid", "left").join(per_run, "uid", "left").join(reach, F.col("id") == F.col("node"), "left")
+    per_run = merged(runs).groupBy("uid").agg(F.count(F.lit(1)).alias("p"))
+    per_cut = merged(runs.where("uid <> first_uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("q"))
+    out = ids.join(per_line, "uid", "left").join(per_run, "uid", "left").join(per_cut, "uid", "left").join(reach, F.col("id") == F.col("node"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select("id", F.coalesce("component", "id").alias("class_id"), zero("n").alias("n_paragraphs"), zero("r").alias("n_removed"), zero("p").alias("n_passages"), zero("q").alias("n_passages_removed"))
 
@@ -395,10 +456,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | Non
     """docs with every paragraph and passage that repeats an earlier one taken out of its text; a text of nothing but such goes with its
     row. Rows without repeats, null texts among them, are unchanged. chars_col, if there, is counted anew."""
     uid, cut, lines_col, spans_col = (free_name(docs, n) for n in ("row_uid", "text_cut", "lines_gone", "spans_gone"))
-    rows = with_row_id(docs, uid)
+    rows = numbered(docs, uid)
     plain = rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text"))
     lines = clusters(plain).where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias("lines"))  # a text's own lines
-    runs = passages(plain).where("uid <> first_uid").groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
+    runs = merged(passages(plain).where("uid <> first_uid")).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
     gone = written(lines.join(runs, "uid", "full_outer"), "removals")
     entries = F.coalesce(F.size("lines"), F.lit(0)) * 8 + F.coalesce(F.size("spans"), F.lit(0)) * 32
     if (gone.agg(F.sum(entries + 96)).first()[0] or 0) <= SENT:

@@ -28,3 +28,16 @@ def test_near_dedup_stage(spark):
     kept = corpus_pipeline.simhash_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [*range(30), *range(60, 90), 90, 92]
+
+
+def test_passages_are_tied_to_partners(spark):
+    lead, rest = prose(3000, 14), prose(3001, 50)
+    texts = [f"{prose(3010, 30)} {lead} {prose(3011, 30)}", f"{prose(3012, 30)} {lead} {rest} {prose(3013, 30)}", f"{prose(3014, 30)} {lead} {rest} {prose(3015, 30)}"]
+    # a text stitched of pieces of unrelated earlier ones repeats none of them
+    pieces = [prose(3100 + k, 15) for k in range(4)]
+    texts += [f"{prose(3110 + k, 30)} {p} {prose(3120 + k, 30)}" for k, p in enumerate(pieces)] + [f"{prose(3130, 30)} {' '.join(pieces)} {prose(3131, 30)}"]
+    docs = docs_of(spark, texts)
+    got = {r.id: r for r in paragraphs.shared_paragraphs(docs).collect()}
+    assert [got[k].class_id for k in range(8)] == [0, 1, 1, 3, 4, 5, 6, 7]
+    left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}
+    assert left == dict(enumerate(texts)) | {2: f"{prose(3014, 30)} {prose(3015, 30)}"}
