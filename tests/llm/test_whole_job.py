@@ -41,3 +41,13 @@ def test_passages_are_tied_to_partners(spark):
     assert [got[k].class_id for k in range(8)] == [0, 1, 1, 3, 4, 5, 6, 7]
     left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}
     assert left == dict(enumerate(texts)) | {2: f"{prose(3014, 30)} {prose(3015, 30)}"}
+
+
+def test_passages_are_whole(spark):
+    """Every stretch of 40 words is found, to its very ends, repeated words included."""
+    shared = [prose(4000 + k, 40 + k % 12) for k in range(40)] + [" ".join(([prose(4100 + k, k)] * 60)[: 60 // k]) for k in range(1, 6)]
+    texts = [f"{prose(4200 + k, 20 + k)} {p} {prose(4300 + k, 30)}" for k, p in enumerate(shared)]
+    again = [(prose(4400 + k, 25), prose(4500 + k, 30 + k)) for k in range(len(shared))]
+    docs = docs_of(spark, texts + [f"{a} {p} {b}" for (a, b), p in zip(again, shared, strict=True)])
+    left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}
+    assert left == dict(enumerate(texts + [f"{a} {b}" for a, b in again]))
