@@ -51,3 +51,31 @@ def test_passages_are_whole(spark):
     docs = docs_of(spark, texts + [f"{a} {p} {b}" for (a, b), p in zip(again, shared, strict=True)])
     left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}
     assert left == dict(enumerate(texts + [f"{a} {b}" for a, b in again]))
+
+
+def test_row_numbers_are_written(spark, tmp_path):
+    """Scans planned anew deal the files' rows to other partitions: removals must still hit the rows that they were found in."""
+    passage = prose(5000, 60)
+    texts = [prose(5010 + k, 60) for k in range(40)]
+    texts[30:] = [f"{prose(5100 + k, 30)} {passage}" for k in range(10)]
+    docs_of(spark, texts).repartition(8).write.parquet(f"{tmp_path}/d")
+    seen = []
+
+    class Moved:
+        """Numbers rows differently at each call, as a new plan may."""
+
+        def __call__(self, df, name):
+            from pyspark.sql import functions as F
+
+            seen.append(name)
+            return df.repartition(3 + len(seen)).withColumn(name, F.monotonically_increasing_id())
+
+    import pytest
+
+    from histomesh.llm import common
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common, "with_row_id", Moved())
+        out = paragraphs.remove_repeats(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert seen and "parquet" in str(common.numbered(docs_of(spark, texts), "n")._jdf.queryExecution().executedPlan()).lower()
+    assert len(out) == 40 and sum(passage in r.text for r in out) == 1
