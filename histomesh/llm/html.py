@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from histomesh.llm.common import bound_arrow, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b|aria-hidden\s*=\s*["']?(true)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -58,10 +58,10 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if attributes and tag not in KEPT:
         for m in ATTRIBUTE.finditer(attributes):
-            if m[3] or m[4]:
+            name, value = m[1].lower(), (m[2] or "").strip("\"'").strip().lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            value = m[2].strip("\"'").lower()
-            if value in ROLES if m[1].lower() == "role" else not NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
+            if name == "role" and value in ROLES or name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
                 return True
     return False
 

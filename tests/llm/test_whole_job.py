@@ -79,3 +79,16 @@ def test_row_numbers_are_written(spark, tmp_path):
         out = paragraphs.remove_repeats(spark.read.parquet(f"{tmp_path}/d")).collect()
     assert seen and "parquet" in str(common.numbered(docs_of(spark, texts), "n")._jdf.queryExecution().executedPlan()).lower()
     assert len(out) == 40 and sum(passage in r.text for r in out) == 1
+
+
+def test_html_attributes():
+    """Names and values of other attributes don't make an element unwanted."""
+    from histomesh.llm import html
+
+    text = prose(6000, 60)
+    kept = ['style="overflow:hidden"', 'aria-hidden="false"', 'title="Hidden gems"', 'data-id="menu"', 'data-x="class=menu"', "title='id=share'", 'data-hidden', 'alt="a" title=hidden']
+    for attributes in kept:
+        assert html.main_text(f"<body><div {attributes}><p>{text}</p></div></body>") == text, attributes
+    assert html.main_text(f'<body><p>{text} <a href="/p?id=share">one</a> <a href="/hidden-valley">two</a></p></body>') == f"{text} one two"
+    for attributes in ("hidden", "HIDDEN", 'hidden=""', 'aria-hidden="true"', "aria-hidden=true", 'class="x menu"', "id=share", "role='navigation'", 'title="a"hidden', 'x="1" id = "cookie-box"'):
+        assert html.main_text(f"<body><p>{text}</p><div {attributes}><p>no</p></div></body>") == text, attributes
