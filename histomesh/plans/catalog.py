@@ -272,7 +272,7 @@ query("quadrat_p_values")(lambda s, d: pt.quadrat_density(ad.cells(s, d)))
 query("ripley_f")(lambda s, d: pt.ripley_f(ad.cells(s, d), 20, 8.0))
 query("permutation_test_ratio")(lambda s, d: pt.permutation_test(checkpointed(_graph(s, d)), ad.clusters(s, d), 200))
 query("permutation_test_count")(lambda s, d: pt.permutation_test(checkpointed(_graph(s, d)), ad.clusters(s, d), 200, "count"))
-query("dclf_envelope")(lambda s, d: pt.dclf_envelope(ad.cells(s, d), "G", 39, 20, 4.0, 2000))
+query("dclf_envelope")(lambda s, d: pt.dclf_envelope(ad.cells(s, d), "G", n_radii=20, max_radius=4.0))
 
 # --- shapes ---
 _B = f"with {ad.BOXES_SQL}"

@@ -92,3 +92,16 @@ def test_html_attributes():
     assert html.main_text(f'<body><p>{text} <a href="/p?id=share">one</a> <a href="/hidden-valley">two</a></p></body>') == f"{text} one two"
     for attributes in ("hidden", "HIDDEN", 'hidden=""', 'aria-hidden="true"', "aria-hidden=true", 'class="x menu"', "id=share", "role='navigation'", 'title="a"hidden', 'x="1" id = "cookie-box"'):
         assert html.main_text(f"<body><p>{text}</p><div {attributes}><p>no</p></div></body>") == text, attributes
+
+
+def test_dclf_is_registered_with_the_defaults(monkeypatch):
+    import inspect
+
+    from histomesh.operators import patterns
+    from histomesh.plans import catalog
+
+    signature, seen = inspect.signature(patterns.dclf_envelope), {}
+    monkeypatch.setattr(catalog.ad, "cells", lambda s, d: None)
+    monkeypatch.setattr(patterns, "dclf_envelope", lambda *a, **k: seen.update(signature.bind(*a, **k).arguments))
+    catalog.QUERIES["dclf_envelope"](None, "")
+    assert seen.get("max_cells", 100_000) == 100_000 and seen.get("n_simulations", 199) == 199
