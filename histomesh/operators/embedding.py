@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -111,10 +111,7 @@ def kmeans(emb: DataFrame, n_clusters: int = 10, seed: int = 42, n_init: int = 1
 
 
 def hierarchical(emb: DataFrame, n_clusters: int = 10) -> DataFrame:
-    """cell_id, label: Ward agglomeration (nearest-neighbour chains); above DRIVER_ROWS bisecting k-means stands in for it."""
-    if emb.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
-        rows = emb.select("cell_id", array_to_vector("v").alias("features"))
-        return BisectingKMeans(k=n_clusters, seed=42).fit(rows).transform(rows).select("cell_id", F.col("prediction").alias("label"))
+    """cell_id, label: Ward agglomeration (nearest-neighbour chains) on the driver. Above DRIVER_ROWS it raises."""
     ids, x = matrix(emb)
     return _labels(emb, ids, ward(x, n_clusters))
 

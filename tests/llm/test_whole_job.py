@@ -105,3 +105,14 @@ def test_dclf_is_registered_with_the_defaults(monkeypatch):
     monkeypatch.setattr(patterns, "dclf_envelope", lambda *a, **k: seen.update(signature.bind(*a, **k).arguments))
     catalog.QUERIES["dclf_envelope"](None, "")
     assert seen.get("max_cells", 100_000) == 100_000 and seen.get("n_simulations", 199) == 199
+
+
+def test_ward_is_not_swapped(spark, monkeypatch):
+    import pytest
+
+    from histomesh.operators import embedding
+
+    monkeypatch.setattr(embedding, "DRIVER_ROWS", 3)
+    rows = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(4)], "cell_id long, v array<double>")
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        embedding.hierarchical(rows, 2)
