@@ -97,13 +97,21 @@ def test_html_attributes():
 def test_dclf_is_registered_with_the_defaults(monkeypatch):
     import inspect
 
+    import pytest
+
     from histomesh.operators import patterns
     from histomesh.plans import catalog
 
     signature, seen = inspect.signature(patterns.dclf_envelope), {}
     monkeypatch.setattr(catalog.ad, "cells", lambda s, d: None)
-    monkeypatch.setattr(patterns, "dclf_envelope", lambda *a, **k: seen.update(signature.bind(*a, **k).arguments))
-    catalog.QUERIES["dclf_envelope"](None, "")
+
+    def record(*a, **k):
+        seen.update(signature.bind(*a, **k).arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(patterns, "dclf_envelope", record)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES["dclf_envelope"](None, "")
     assert seen.get("max_cells", 100_000) == 100_000 and seen.get("n_simulations", 199) == 199
 
 
