@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -46,6 +47,22 @@ def bound_arrow(spark: SparkSession, nbytes: int = 8 << 20) -> None:
             spark.conf.set(key, value)
 
 
+_HELD: dict = {}
+
+
+def sent(spark: SparkSession, value) -> tuple:
+    """(key, broadcast) of the pickled value, for held()."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(value, protocol=5))
+
+
+def held(key: str, broadcast):
+    """The value of a broadcast, unpickled once a Python worker, however many tasks it runs; one value at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = pickle.loads(broadcast.value)
+    return _HELD[key]
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 

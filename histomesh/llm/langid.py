@@ -3,13 +3,13 @@
 Per language a variable-order byte context tree (orders 0 to 4, escapes by method C: distinct symbols over symbols plus
 distinct, uniform 1/256 below order 0) is learned once and then frozen. A text's code length under each language is the
 exact sum of its bytes' code lengths, escapes included; the shortest code names the language. The trees are stored
-resolved: for every n-gram of any training text its code length under every language, for every context its escape
-cost, in one open-addressing table that numpy probes for all bytes of a batch at once.
+resolved, in groups of languages: for every n-gram of a group's training texts its code length under each of the group's languages, for
+every context its escape cost, in one open-addressing table that numpy probes for all bytes of a batch at once. So the
+model grows with the number of languages, not with its square.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import bound_arrow, table, written
+from histomesh.llm.common import bound_arrow, held, sent, table, written
 
 ORDER = 4
 #: Characters of training text a language at most, in whole documents of at most LONGEST characters (the documented bound).
 TRAIN_CHARS, LONGEST = 400_000, 40_000
+#: Languages whose trees share a table.
+GROUP = 4
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes scored at once.
@@ -80,7 +82,8 @@ class Trees:
             below_keys, below = grams, p
         keys, bits = np.concatenate(keys), np.concatenate(bits).astype(np.float32)
         self.bits = bits
-        self.escapes = np.zeros_like(bits)
+        # grams of the full length are never contexts, and come last
+        self.escapes = np.zeros((int(np.searchsorted(keys, np.uint64((order + 1) << 8 * (order + 1)))), len(self.langs)), np.float32)
         order_ = np.argsort(keys)
         at = np.concatenate(self.escape_keys)
         place = np.searchsorted(keys[order_], at) if len(keys) else at.astype(np.int64)
@@ -170,27 +173,45 @@ class Trees:
         return out
 
 
-def train(labelled: DataFrame, max_chars: int = TRAIN_CHARS, longest: int = LONGEST) -> Trees:
-    """labelled: text, lang (rows with nulls are passed over). Learns from whole documents of at most longest characters, in order of the text's hash,
-    as long as their sum is at most max_chars a language."""
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.length("text").alias("n"), F.xxhash64("text").alias("h")).where(f"n between 1 and {longest}")
-    held = written(rows.groupBy("lang").agg(F.sum("n").alias("all")), "lang-sizes")
+class Forest:
+    """Trees of languages in groups."""
+
+    def __init__(self, texts: dict[str, list[bytes]], group: int = GROUP):
+        self.langs = sorted(texts)
+        self.groups = [Trees({k: texts[k] for k in self.langs[at : at + group]}) for at in range(0, len(self.langs), group)]
+
+    def total_bits(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([np.zeros((len(texts), 0)), *(g.total_bits(texts) for g in self.groups)], axis=1)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for g in self.groups for x in vars(g).values() if isinstance(x, np.ndarray))
+
+
+def train(labelled: DataFrame, max_chars: int = TRAIN_CHARS, longest: int = LONGEST) -> Forest:
+    """labelled: text, lang (rows with nulls are passed over). Learns from whole documents of at most longest characters (of a language's shortest
+    one, if all are longer: its first max_chars), each text once, in order of the text's hash, as long as their sum is at most max_chars a language."""
+    rows = labelled.where("text is not null and text <> '' and lang is not null").select("lang", "text", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    once = rows.groupBy("lang", "h").agg(F.max("n").alias("n"))
+    sizes = once.groupBy("lang").agg(F.sum(F.when(F.col("n") <= longest, F.col("n"))).alias("all"), F.min("n").alias("least"))
+    sizes = written(sizes.withColumn("most", F.greatest("least", F.lit(longest))), "lang-sizes")
     # thin out by hash before any row is ranked, so that a window sees about four times the bound, whatever the table's size
-    share = F.lit(4.0 * max_chars + 4.0 * longest) / F.col("all")
-    some = rows.join(held, "lang").where(F.col("h").cast("double") / 2.0**64 + 0.5 < share)
+    share = F.coalesce(F.lit(4.0 * max_chars + 4.0 * longest) / F.col("all"), F.lit(2.0))
+    some = rows.join(sizes, "lang").where((F.col("n") <= F.col("most")) & (F.col("h").cast("double") / 2.0**64 + 0.5 < share))
+    # copies of a text have one hash: they become one row before the window
+    some = some.groupBy("lang", "h").agg(F.min(F.substring("text", 1, max_chars)).alias("text")).withColumn("n", F.length("text"))
     run = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0)
     picked = some.withColumn("upto", F.sum("n").over(run)).where((F.col("upto") <= max_chars) | (F.col("upto") == F.col("n"))).select("lang", "text")
     texts: dict[str, list[bytes]] = {}
     for lang, text in sorted(map(tuple, picked.collect())):
         texts.setdefault(lang, []).append(text.encode())
-    return Trees(texts)
+    return Forest(texts)
 
 
-def _predict(broadcast):
+def _predict(key: str, broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        trees, letter = pickle.loads(broadcast.value), regex.compile(r"\p{L}")
+        trees, letter = held(key, broadcast), regex.compile(r"\p{L}")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -206,16 +227,16 @@ def _predict(broadcast):
     return run
 
 
-def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (share of the best language's probability among all, under equal priors) of every row, from its whole text.
 
     Null texts and texts without a letter are und with score 0, as is every row if nothing was learned. Ties go to the first language by name.
     Repeated rows get equal results; only the two columns named are read."""
     bound_arrow(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(trees))  # bounded by max_chars a language
+    model = sent(docs.sparkSession, trees)  # bounded by max_chars a language
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model), f"id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(*model), f"id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str):
