@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm import decontaminate, mixing, paragraphs, quality
+from histomesh.llm import decontaminate, mixing, paragraphs, quality, simhash
 from histomesh.llm.common import table, written
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, Jaccard 0.8 or more. (Fingerprints within the 2 bits of op6 miss most of these.)"""
-    return paragraphs.keep_one(docs)
+    """One document of each group of near copies: 5-word shingles, Jaccard 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its size and the words that the mix takes of it."""
-    return mixing.mix(docs).select(F.col("id").alias("doc_id"), F.when(F.col("missing") == 0, F.col("src")).alias("source"), "size", "source_size", "target", "taken")
+    """Each document with its size, its source's size and target, and the words that the mix takes of it."""
+    return mixing.mix(docs)
 
 
 STAGES = [

@@ -34,10 +34,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors. discard() takes it away."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_arrow(spark: SparkSession, nbytes: int = 8 << 20) -> None:
@@ -72,9 +81,13 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a row number, written together: every later scan reads the same number for a row, whatever executors there are by then."""
-    return written(with_row_id(df, name), "numbered")
+def ordered(df: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
+    """df with a row number in order of id (nulls last) and the text's hash, written together: every later scan reads the same number for a row,
+    whatever executors there are by then, and rows compare alike whatever files they came in. Rows equal in both are dealt out by a third key."""
+    h, salt = free_name(df, "row_hash"), free_name(df, "row_salt")
+    key = [F.col(id_col).asc_nulls_last(), F.col(h), F.col(salt)]
+    rows = with_row_id(df.withColumn(h, F.xxhash64(F.col(text_col))), salt)
+    return written(with_row_id(rows.repartitionByRange(*key).sortWithinPartitions(*key).drop(h, salt), name), "numbered")
 
 
 def free_name(df: DataFrame, name: str) -> str:

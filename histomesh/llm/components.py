@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import written
+from histomesh.llm.common import discard, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step on links (a > b). Large: every larger neighbour of a node links to the node's least neighbour.
+    """One step on links (a > b), which are discarded. Large: every larger neighbour of a node links to the node's least neighbour.
     Small: every smaller neighbour and the node itself link to the least one."""
     if large:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -19,7 +19,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         least = written(links.groupBy("a").agg(F.min("b").alias("m")), "least")
         out = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    out = written(out.where("a > b").distinct(), "links")
+    discard(links, least)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -35,7 +37,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if stamp[0] == 0 or tuple(stamp) == before:
             break
         before = tuple(stamp)
-        now = written(_star(written(_star(now, large=True), "links"), large=False), "links")
+        now = _star(_star(now, large=True), large=False)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()

@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import WORD, table, written
+from histomesh.llm.common import WORD, free_name, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, 17
 #: Words of the budget that are left to the knapsack at least (all of a smaller budget); documents in a hash bucket, about.
-ROOM, BUCKET = 4096, 512
+ROOM, BUCKET = 4096, 64
+#: Rows of a plan (a row a source and length) that may be broadcast.
+PLAN_ROWS = 200_000
+KEY, ADDED = ["missing", "src", "size"], ("size", "source_size", "target", "taken")
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -75,40 +78,46 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return some.assign(copies=copies, extra=take)[["missing", "src", "size", "n", "source_size", "target", "copies", "extra"]]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """id, source (as missing, src), size (words), source_size, target, taken (words, repeats counted) of every row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns keep; all by default) with size (words), source_size, target, taken (words, repeats counted) added; columns of these
+    names are replaced.
 
     Null and empty texts have size 0 and are taken 0 times; the null source is one more source; a source of size 0 has
-    target 0. Rows that share id and text are chosen in any order, which gives the same rows. Seeded: reruns agree."""
+    target 0. Documents are chosen in order of a seeded hash of id and text; rows that share both are chosen in any order. So reruns agree.
+    An empty table gives an empty result."""
+    own = free_name(docs, "mix_key")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).isNull().cast("int").alias("missing"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), size.alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("h"),
-    )
-    rows = written(rows, "mix-sizes")
-    hist = written(rows.groupBy("missing", "src", "size").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
+    h = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
+    named = F.struct(F.col(source_col).isNull().cast("int").alias("missing"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), size.alias("size"), h.alias("h"))
+    cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    rows = written(docs.select(*[F.col(f"`{c}`") for c in cols], named.alias(own)), "mix-rows")
+    small = rows.select(f"{own}.*")
+    hist = written(small.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
     goal = written(targets(hist.groupBy("missing", "src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "mix-targets")
     schema = "missing int, src string, size long, n long, source_size long, target double, copies int, extra long"
-    plan = written(hist.join(goal, ["missing", "src"]).groupBy("missing", "src").applyInPandas(_plan, schema), "mix-plan")
-    wide = hist.where("size = 0").join(goal, ["missing", "src"]).select("missing", "src", "size", "n", "source_size", "target", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("extra"))
-    key = ["missing", "src", "size"]
-    # buckets of the hash order within a length: only the one in which the quota ends has to be ranked
+    plan = hist.join(goal, ["missing", "src"]).groupBy("missing", "src").applyInPandas(_plan, schema)
+    none = hist.where("size = 0").join(goal, ["missing", "src"]).select(*KEY, "n", "source_size", "target", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("extra"))
+    plan = written(plan.union(none), "mix-plan")
+    # of a length that is taken in part, the hash up to which: only the bucket of the hash order in which the quota ends is ranked
     place = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.ceil(F.col("n") / BUCKET))
-    full = written(rows.join(written(plan.union(wide), "mix-plan"), key).withColumn("b", place), "mix-rows")
-    part = "extra > 0 and extra < n"
-    run = Window.partitionBy(*key).orderBy("b")
-    bins = full.where(part).groupBy(*key, "b", "extra").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(run))
-    cut = written(bins.where("upto >= extra and upto - m < extra").select(*key, F.col("b").alias("last"), (F.col("extra") - F.col("upto") + F.col("m")).alias("quota")), "mix-cuts")
-    some = full.where(part).join(cut, key)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "id"))
-    cols = ["id", *key, "source_size", "target"]
-    taken = lambda more: (F.col("size") * (F.col("copies") + more.cast("int"))).alias("taken")
-    return (
-        full.where(f"not ({part})").select(*cols, taken(F.col("extra") > 0))
-        .union(some.where("b <> last").select(*cols, taken(F.col("b") < F.col("last"))))
-        .union(some.where("b = last").withColumn("rank", rank).select(*cols, taken(F.col("rank") <= F.col("quota"))))
-    )
+    part = written(small.join(plan.where("extra > 0 and extra < n").select(*KEY, "n", "extra"), KEY).withColumn("b", place), "mix-parts")
+    bins = part.groupBy(*KEY, "b", "extra").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(Window.partitionBy(*KEY).orderBy("b")))
+    cut = written(bins.where("upto >= extra and upto - m < extra").select(*KEY, "b", (F.col("extra") - F.col("upto") + F.col("m")).alias("quota")), "mix-cuts")
+    ranked = part.join(cut, [*KEY, "b"]).groupBy(*KEY, "quota", "h").agg(F.count(F.lit(1)).alias("ties"))
+    ranked = ranked.withColumn("upto", F.sum("ties").over(Window.partitionBy(*KEY).orderBy("h"))).where("upto >= quota and upto - ties < quota")
+    plan = written(plan.join(ranked.select(*KEY, F.col("h").alias("last"), "ties", (F.col("quota") - F.col("upto") + F.col("ties")).alias("quota")), KEY, "left"), "mix-plan")
+    if plan.count() <= PLAN_ROWS:
+        plan = F.broadcast(plan)  # of checked size; beyond it rows are joined by a shuffle
+    it = lambda c: F.col(f"{own}.{c}")
+    both = rows.join(plan.select(F.struct("*").alias("plan")), (it("missing") == F.col("plan.missing")) & (it("src") == F.col("plan.src")) & (it("size") == F.col("plan.size")))
+    more = F.when(F.col("plan.last").isNull(), F.col("plan.extra") > 0).otherwise(it("h") <= F.col("plan.last"))
+    added = lambda more: [it("size").alias("size"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), (it("size") * (F.col("plan.copies") + more.cast("int"))).alias("taken")]
+    tied = F.coalesce((it("h") == F.col("plan.last")) & (F.col("plan.ties") > F.col("plan.quota")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("plan.missing", "plan.src", "plan.size").orderBy(it("h")))
+    some = both.where(tied).withColumn("place", rank)
+    kept = [F.col(f"`{c}`") for c in cols]
+    return both.where(~tied).select(*kept, *added(more)).union(some.select(*kept, *added(F.col("place") <= F.col("plan.quota"))))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), keep=["doc_id"])

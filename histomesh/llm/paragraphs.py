@@ -5,16 +5,20 @@ signatures over 5-word shingles are banded; the bands are tuned so that paragrap
 probability RECALL at least. Colliding paragraphs are verified by the exact Jaccard similarity of their shingle sets, and
 verified links form components; of each component the first paragraph stays, the others are removals.
 
-No bucket emits all its pairs. Its members are first verified against one of them, then against another. What larger
+No bucket emits all its pairs. Its members are first verified against two of them. What larger
 buckets still hold apart is compared block against block: a task holds two blocks, counts common shingles by matrix
 products and returns links enough to join what belongs together. So no link is lost, whatever a bucket's size.
 
 Passages that sit inside different lines are found by winnowed stretches of words, which fall on the same words wherever a
 passage stands. Each is extended word by word against one earlier text that has it; what that text has too is a removal as well.
+
+Rows are numbered in order of id and text, so what stays does not depend on the files' layout. One scan of the texts gives both searches
+their features; the texts that they compare are fetched once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import bound_arrow, free_name, numbered, table, written
+from histomesh.llm.common import bound_arrow, discard, free_name, ordered, table, with_row_id, written
 from histomesh.llm.components import components
+from histomesh.llm.shingles import FIND, SHINGLE, Known, Signer, majorities, marks, shingled
 
-SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 30
+THRESHOLD, MIN_WORDS = 0.8, 30
 #: Chance at least that a pair at the threshold collides, chance at most that one at NOISE does.
 RECALL, NOISE, CHANCE = 0.999, 0.1, 0.1
 #: The same for whole texts, of which more share a little.
 WHOLE_NOISE = 0.25
-SEED = 7
-_P = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles signed at once.
-CHUNK = 1 << 14
-#: Members of a block, about; shingles counted in one matrix product.
-BLOCK, COLUMNS = 512, 1 << 13
+#: Bytes of text whose features are computed at once, about.
+CHUNK = 1 << 20
+#: Members of a block and bytes of it, about; shingles counted in one matrix product.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 1 << 20, 1 << 13
 #: Words of a passage at least; of so many successive stretches of that length one is a mark. Every equal stretch of 40 words is found.
 LEAST = 22
 WINDOW = 40 - LEAST + 1
-#: Bytes of removals, as they lie in memory, that are sent to every executor at most; larger lists are joined by a shuffle.
-SENT = 32 << 20
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = NOISE, chance: float = CHANCE) -> tuple[int, int]:
@@ -53,101 +54,76 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = NO
     raise ValueError("no banding fits")
 
 
-class Signer:
-    def __init__(self, bands: int, rows: int, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-        self.known: dict[bytes, int] = {}
+_PARAGRAPHS = pa.struct([("idx", pa.int32()), ("n_words", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("fp", pa.int64())])
+_MARKS = pa.struct([("start", pa.int32()), ("key", pa.int64())])
+FEATURES = "uid long, ps array<struct<idx:int,n_words:int,key:binary,bands:array<bigint>,fp:bigint>>, ms array<struct<start:int,key:bigint>>"
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
 
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > 1 << 20:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            if (n := known.get(w)) is None:
-                n = known[w] = digest(w)
-            out[k] = n
-        return out
+def _features(bands: int, rows: int, min_words: int, whole: bool):
+    """uid, ps (the text's paragraphs), ms (its marks). whole: the text is one paragraph, has a fingerprint and no marks."""
 
-    def shingles(self, words: list[bytes]) -> np.ndarray:
-        n = self.numbers(words)
-        out = np.zeros(max(1, len(n) - SHINGLE + 1), np.uint64)
-        for k in range(min(SHINGLE, len(n))):
-            part = out * _P + n[k : k + len(out)]
-            out = part ^ part >> np.uint64(29)
-        return out
+    def of(uids: list[int], texts: list[bytes], known: Known, signer: Signer) -> pa.RecordBatch:
+        import xxhash
 
-    def sign(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Band hashes, a row for each set. Long sets are signed in parts."""
-        least = np.empty((len(sets), self.bands * self.rows), np.uint64)
-        sizes = np.array([len(s) for s in sets])
-        k = 0
-        while k < len(sets):
-            upto = max(k + 1, k + int(np.searchsorted(np.cumsum(sizes[k:]), CHUNK, "right")))
-            x = np.concatenate(sets[k:upto])
-            if upto == k + 1:
-                own = np.full(self.bands * self.rows, np.iinfo(np.uint64).max)
-                for at in range(0, len(x), CHUNK):
-                    own = np.minimum(own, (self.a[:, None] * x[at : at + CHUNK] + self.b[:, None]).min(axis=1))
-                least[k] = own
+        words, keys, at, counts, first, n_marks, places, hashes = [], [], [], [], [0], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for text in texts:
+            lines = [FIND(line) for line in ([text] if whole else text.split(b"\n"))]
+            for k, line in enumerate(lines):
+                if len(line) >= min_words:
+                    words += line
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(line)))
+                    at.append(k)
+                    counts.append(len(line))
+            first.append(len(keys))
+            if not whole:
+                start, key = marks(known.numbers([w for line in lines for w in line]), LEAST, WINDOW)
+                places.append(start), hashes.append(key), n_marks.append(len(start))
             else:
-                starts = np.cumsum(sizes[k:upto]) - sizes[k:upto]
-                least[k:upto] = np.minimum.reduceat(self.a[:, None] * x + self.b[:, None], starts, axis=1).T
-            k = upto
-        out = np.zeros((len(sets), self.bands), np.uint64)
-        for r in range(self.rows):
-            out = (out * _P + least[:, r :: self.rows]) ^ out >> np.uint64(31)
-        return out.view(np.int64)
-
+                n_marks.append(0)
+        x, starts = shingled(known.numbers(words), np.array(counts, np.int64))
+        sign = signer.sign(x, starts).reshape(-1) if len(starts) else np.zeros(0, np.int64)
+        prints = majorities(x, starts) if whole and len(starts) else np.zeros(len(starts), np.int64)
+        if whole:
+            prints[np.array(counts, np.int64) == 0] = 0
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sign) + 1, bands), pa.int32()), pa.array(sign))
+        ps = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(counts, pa.int32()), pa.array(keys, pa.binary()), lists, pa.array(prints, pa.int64())], fields=list(_PARAGRAPHS))
+        ms = pa.StructArray.from_arrays([pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], fields=list(_MARKS))
+        ends = np.concatenate([[0], np.cumsum(n_marks)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(uids, pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), ps), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ms)], ["uid", "ps", "ms"]
+        )
 
-def _paragraphs(bands: int, rows: int, min_words: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        import xxhash
-
-        find = re.compile(rb"[^\x20\x09-\x0D]+").findall
-        signer = Signer(bands, rows)
-        names = ["uid", "idx", "n_words", "key", "bands", "body"]
-
-        def batch_of(held):
-            sign = signer.sign([h[4] for h in held]).reshape(-1)
-            cols = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2] for h in held], pa.int32()), pa.array([h[3] for h in held], pa.binary())]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sign) + 1, bands), pa.int32()), pa.array(sign))
-            return pa.RecordBatch.from_arrays([*cols, lists, pa.array([h[5] for h in held], pa.binary())], names)
-
-        held, size = [], 0
+        known, signer = Known(), Signer(bands, rows)
+        uids, texts, size = [], [], 0
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                body = (text.as_py() or b"").lower()
-                for idx, line in enumerate([body] if whole else body.split(b"\n")):
-                    words = find(line)
-                    if len(words) < min_words:
-                        continue
-                    body = b" ".join(words)
-                    held.append((uid, idx, len(words), xxhash.xxh3_128_digest(body), signer.shingles(words), body))
-                    size += len(body)
-                    if size >= 1 << 20:
-                        yield batch_of(held)
-                        held, size = [], 0
-        if held:
-            yield batch_of(held)
+                uids.append(uid)
+                texts.append((text.as_py() or b"").lower())
+                size += len(texts[-1])
+                if size >= CHUNK:
+                    yield of(uids, texts, known, signer)
+                    uids, texts, size = [], [], 0
+        if uids:
+            yield of(uids, texts, known, signer)
 
     return run
 
 
+def features(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """rows: uid, text. The features of every row, in a written table."""
+    bound_arrow(rows.sparkSession)
+    bands, per_band = tune(noise=WHOLE_NOISE if whole else NOISE)
+    return written(rows.select("uid", F.col("text").cast("string")).mapInArrow(_features(bands, per_band, 0 if whole else MIN_WORDS, whole), FEATURES), "features")
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Exact similarity of the sets of 5-word shingles; a shorter paragraph is one shingle."""
     return _similarity(_shingle_set(a), _shingle_set(b))
 
 
 def _shingle_set(body: bytes) -> set:
-    w = body.split(b" ")
+    w = FIND(body.lower())
     return set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) or {tuple(w)}
 
 
@@ -161,7 +137,7 @@ def _verify(threshold: float):
         last, own = None, set()
         for batch in batches:
             keep = []
-            for a, body_a, body_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for a, body_a, body_b in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
                 if a != last:
                     last, own = a, _shingle_set(body_a.as_py())
                 keep.append(_similarity(own, _shingle_set(body_b.as_py())) >= threshold)
@@ -175,8 +151,8 @@ def _compare(threshold: float):
     """Links among the members of two blocks of a bucket, enough to join every pair at the threshold that is still apart."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, parts = rows.column("key").to_pylist(), rows.column("c").to_pylist()
-        sets = [_shingle_set(x.as_py()) for x in rows.column("body")]
+        keys, parts = rows.column("pid").to_pylist(), rows.column("c").to_pylist()
+        sets = [_shingle_set(x.as_py()) for x in rows.column("body").cast(pa.binary())]
         number: dict = {}
         owner, column = [], []
         for k, own in enumerate(sets):
@@ -206,107 +182,59 @@ def _compare(threshold: float):
             if (x := find(parts[i])) != (y := find(parts[j])):
                 root[x] = y
                 left.append(keys[i]), right.append(keys[j])
-        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def clusters(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """rows: uid (unique long), text. Returns every paragraph that has an equal or similar one elsewhere (same text included): uid, idx
-    (line number from 0), n_words, first_uid, first_idx (of the one that stays: least uid, then line). whole: a text is one paragraph."""
-    bound_arrow(rows.sparkSession)
-    bands, per_band = tune(threshold, noise=WHOLE_NOISE if whole else NOISE)
-    found = rows.select("uid", F.col("text").cast("string")).mapInArrow(_paragraphs(bands, per_band, min_words, whole), "uid long, idx int, n_words int, key binary, bands array<long>, body binary")
-    every = written(found, "paragraphs")
-    distinct = every.groupBy("key").agg(F.min(F.struct("uid", "idx")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    distinct = written(distinct, "distinct-paragraphs")
-
-    where = distinct.select("key", F.posexplode("bands").alias("band", "hash"))
-    crowded = written(where.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("rep")).where("size > 1"), "buckets")
-    members = written(where.join(crowded, ["band", "hash"]), "bucket-members")
-    need = members.select("key").distinct().join(distinct.select("key", "first.uid", "first.idx"), "key")
-    bodies = written(every.select("uid", "idx", "body").join(need, ["uid", "idx"]).select("key", "body"), "bodies")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "pairs")
-        left, right = bodies.select(F.col("key").alias("a"), F.col("body").alias("body_a")), bodies.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
-        full = pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b")
-        return written(full.mapInArrow(_verify(threshold), "a binary, b binary"), "verified")
-
-    def apart(links: DataFrame, least: int) -> DataFrame:
-        """Members of buckets of at least that size that still hold more than one component, with the component and another member of the bucket."""
+class Search:
+    """Clusters of equal or similar paragraphs among rows of features(). wanted(): the rows whose texts it compares; clusters(): the result."""
+
+    def __init__(self, found: DataFrame):
+        self.every = found.select("uid", F.explode("ps").alias("p")).select("uid", "p.*")
+        distinct = self.every.groupBy("key").agg(F.min(F.struct("uid", "idx")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
+        # one number for each distinct paragraph, written with it
+        self.distinct = written(with_row_id(distinct, "pid"), "distinct-paragraphs")
+        where = self.distinct.select("pid", F.posexplode("bands").alias("band", "hash"))
+        crowded = written(where.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size"), F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("size > 1"), "buckets")
+        self.members = written(where.join(crowded, ["band", "hash"]), "bucket-members")
+        discard(crowded)
+        pair = lambda other: self.members.where(F.col("pid") != F.col(other)).select(F.least("pid", other).alias("a"), F.greatest("pid", other).alias("b"))
+        self.pairs = pair("lo").union(pair("hi"))
+
+    def wanted(self) -> DataFrame:
+        pids = self.pairs.select("a").union(self.pairs.select("b")).distinct()
+        return pids.join(self.distinct, F.col("a") == F.col("pid")).select("first.uid")
+
+    def clusters(self, texts: DataFrame, threshold: float = THRESHOLD, whole: bool = False) -> DataFrame:
+        """texts: uid, text of the rows wanted. Returns every paragraph that has an equal or similar one elsewhere (same text included): uid, idx
+        (line number from 0), n_words, first_uid, first_idx (of the one that stays: least uid, then line)."""
+        pairs = written(self.pairs.distinct(), "pairs")
+        need = pairs.select("a").union(pairs.select("b")).distinct().join(self.distinct, F.col("a") == F.col("pid")).select("pid", "first.uid", "first.idx")
+        line = F.col("text") if whole else F.get(F.split("text", "\n"), F.col("idx"))
+        bodies = written(need.join(texts, "uid").select("pid", line.alias("body")), "bodies")
+
+        left, right = bodies.select(F.col("pid").alias("a"), F.col("body").alias("body_a")), bodies.select(F.col("pid").alias("b"), F.col("body").alias("body_b"))
+        links = written(pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
         of = written(components(links), "paragraph-components")
-        now = members.where(F.col("size") >= least).select("band", "hash", "size", "key")
-        now = written(now.join(of, F.col("key") == F.col("node"), "left").select("band", "hash", "size", "key", F.coalesce("component", "key").alias("c")), "bucket-components")
-        split = now.groupBy("band", "hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("key").alias("rep")).where("lo <> hi").select("band", "hash", "rep")
-        return written(now.join(written(split, "split"), ["band", "hash"]), "split-buckets")
-
-    pairs = lambda rows: rows.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    links = verified(pairs(members))
-    # in buckets of two, one comparison was all; in those of three, two members make all
-    links = links.union(verified(pairs(apart(links, 3))))
-    rest = apart(links, 4)
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.join(bodies, "key").withColumn("own", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rest = rest.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "c", "body")
-    links = links.union(written(rest.groupBy("band", "hash", "i", "j").applyInArrow(_compare(threshold), "a binary, b binary"), "block-links"))
-
-    of = components(links)
-    named = distinct.select("key", "first", "n").join(of, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("c"))
-    named = written(named, "paragraph-clusters")
-    groups = written(named.groupBy("c").agg(F.sum("n").alias("n"), F.min("first").alias("stays")).where("n > 1").select("c", "stays"), "clusters")
-    shared = written(named.select("key", "c").join(groups, "c").select("key", "stays"), "shared-keys")
-    return every.select("uid", "idx", "n_words", "key").join(shared, "key").select("uid", "idx", "n_words", F.col("stays.uid").alias("first_uid"), F.col("stays.idx").alias("first_idx"))
-
-
-def _powers(n: int, known: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """The first n powers of _P and of its inverse, modulo 2^64."""
-    if not known or len(known[0]) < n:
-        step = np.full(max(n, 1 << 12), _P)
-        back = np.full(len(step), np.uint64(pow(int(_P), -1, 1 << 64)))
-        step[0] = back[0] = 1
-        known[:] = [np.multiply.accumulate(step), np.multiply.accumulate(back)]
-    return known[0][:n], known[1][:n]
-
-
-def marks(numbers: np.ndarray, least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the stretches of least words picked by winnowing: of any window successive ones the one of least hash. An equal
-    stretch of least + window - 1 words has a common mark, whatever its words. Overlapping equal marks (a repeated word) count once."""
-    m = len(numbers) - least + 1
-    if m < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _powers(len(numbers))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers * up)])
-    h = (sums[least:] - sums[:m]) * down[:m]
-    h = (h ^ h >> np.uint64(32)) * _P
-    h ^= h >> np.uint64(29)
-    if m <= window:
-        at = np.array([h.argmin()])
-    else:
-        at = np.arange(m - window + 1) + np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
-        at = np.unique(at)
-    key = h[at]
-    # runs of equal marks that overlap: one for each least words
-    first = np.ones(len(at), bool)
-    first[1:] = (key[1:] != key[:-1]) | (np.diff(at) >= least)
-    part = (at - at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]) // least
-    keep = first.copy()
-    keep[1:] |= part[1:] != part[:-1]
-    return at[keep], key[keep]
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-
-    find = re.compile(rb"[^\x20\x09-\x0D]+").findall
-    signer = Signer(1, 1)
-    for batch in batches:
-        uids, sizes, starts, keys = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            at, key = marks(signer.numbers(find((text.as_py() or b"").lower())))
-            uids.append(uid), sizes.append(len(at)), starts.append(at), keys.append(key)
-        uid = np.repeat(np.array(uids, np.int64), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], ["uid", "start", "key"])
+        # in buckets of up to three, the two comparisons of each member were all; of larger ones, those that still hold more than one component
+        now = self.members.where("size >= 4").join(of, F.col("pid") == F.col("node"), "left").select("band", "hash", "pid", F.coalesce("component", "pid").alias("c"))
+        now = written(now, "bucket-components")
+        split = now.groupBy("band", "hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "hash")
+        apart = written(now.join(written(split, "split"), ["band", "hash"]).join(bodies, "pid"), "apart")
+        blocks = apart.groupBy("band", "hash").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("body")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+        rest = apart.join(written(blocks, "blocks"), ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "pid", "c", "body")
+        more = written(rest.groupBy("band", "hash", "i", "j").applyInArrow(_compare(threshold), "a long, b long"), "block-links")
+        if not more.isEmpty():
+            of = written(components(links.union(more)), "paragraph-components")
+        named = self.distinct.select("pid", "key", "first", "n").join(of, F.col("pid") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "pid").alias("c"))
+        named = written(named, "paragraph-clusters")
+        groups = written(named.groupBy("c").agg(F.sum("n").alias("n"), F.min("first").alias("stays")).where("n > 1").select("c", "stays"), "clusters")
+        shared = written(named.select("key", "c").join(groups, "c").select("key", "stays"), "shared-keys")
+        out = written(self.every.select("uid", "idx", "n_words", "key").join(shared, "key").select("uid", "idx", "n_words", F.col("stays.uid").alias("first_uid"), F.col("stays.idx").alias("first_idx")), "shared-paragraphs")
+        discard(pairs, bodies, links, of, now, apart, more, named, groups, shared, self.distinct, self.members)
+        return out
 
 
 def stretches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -327,37 +255,53 @@ def stretches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], least:
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-
-    find = re.compile(rb"[^\x20\x09-\x0D]+").findall
-    signer = Signer(1, 1)
+    known = Known()
     last, other = None, None
     for batch in batches:
         rows = []
         columns = [batch.column(k).to_pylist() for k in range(3)]
         for uid, first, seeds, text, early in zip(*columns, batch.column(3).cast(pa.binary()), batch.column(4).cast(pa.binary()), strict=True):
             if first != last:
-                last, other = first, signer.numbers(find(early.as_py().lower()))
-            own = signer.numbers(find(text.as_py().lower()))
+                last, other = first, known.numbers(FIND(early.as_py().lower()))
+            own = known.numbers(FIND(text.as_py().lower()))
             for start, stop, at in stretches(own, other, [(x["start"], x["at"]) for x in seeds]):
                 rows += [(uid, start, stop, first), (first, at, at + stop - start, first)]
         cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["uid", "start", "stop", "first_uid"])
 
 
-def passages(rows: DataFrame) -> DataFrame:
-    """rows: uid, text. Returns the stretches of LEAST words or more that a row and an earlier one (lesser uid) have in common: uid, start, stop
-    (words of the text, stop excluded), first_uid (the earlier row). Each is compared word by word with that row and as long as can be; the
-    earlier row has its own (first_uid = uid). Every equal stretch of LEAST + WINDOW - 1 words has a mark that names the earliest row with that
-    mark, so rows that share one are linked through rows that truly share LEAST words. Words are compared by 64-bit hash."""
-    found = written(rows.select("uid", F.col("text").cast("string")).mapInArrow(_marked, "uid long, start int, key long"), "marks")
-    again = found.groupBy("key").agg(F.min(F.struct("uid", "start")).alias("first"), F.max("uid").alias("last")).where("first.uid <> last")
-    again = written(again.select("key", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("at")), "shared-marks")
-    seeds = found.join(again, "key").where("uid <> first_uid").groupBy("uid", "first_uid").agg(F.collect_list(F.struct("start", "at")).alias("seeds"))  # a text's own marks
-    seeds = written(seeds, "seeds")
-    text, early = rows.select("uid", F.col("text").cast("string").alias("text")), rows.select(F.col("uid").alias("first_uid"), F.col("text").cast("string").alias("early"))
-    full = seeds.join(text, "uid").join(early, "first_uid").select("uid", "first_uid", "seeds", "text", "early")
-    return full.mapInArrow(_extend, "uid long, start int, stop int, first_uid long").distinct()
+def seeds(found: DataFrame) -> DataFrame:
+    """found: features. uid, first_uid, seeds (start, at): a row's marks that an earlier row has too, by the earliest row that has them."""
+    every = found.select("uid", F.explode("ms").alias("m")).select("uid", "m.start", "m.key")
+    shared = written(every.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("first_uid")), "shared-marks")
+    marked = written(every.join(shared, "key"), "marks")
+    at = written(marked.where("uid = first_uid").groupBy("key").agg(F.min("start").alias("at")), "first-marks")
+    rows = marked.where("uid <> first_uid").join(at, "key").groupBy("uid", "first_uid").agg(F.collect_list(F.struct("start", "at")).alias("seeds"))  # a text's own marks
+    rows = written(rows, "seeds")
+    discard(shared, marked, at)
+    return rows
+
+
+def passages(seeds: DataFrame, texts: DataFrame) -> DataFrame:
+    """seeds: of seeds(); texts: uid, text of their rows. Returns the stretches of LEAST words or more that a row and an earlier one (lesser uid)
+    have in common: uid, start, stop (words of the text, stop excluded), first_uid (the earlier row). Each is compared word by word with that
+    row and as long as can be; the earlier row has its own (first_uid = uid). Every equal stretch of LEAST + WINDOW - 1 words has a mark that
+    names the earliest row with that mark, so rows that share one are linked through rows that truly share LEAST words. Words are compared
+    by 64-bit hash."""
+    early = texts.select(F.col("uid").alias("first_uid"), F.col("text").alias("early"))
+    full = seeds.join(texts, "uid").join(early, "first_uid").select("uid", "first_uid", "seeds", "text", "early")
+    return written(full.mapInArrow(_extend, "uid long, start int, stop int, first_uid long").distinct(), "passages")
+
+
+def repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: uid, text. (paragraphs, passages): what Search.clusters() and passages() find among them."""
+    found = features(rows)
+    search, start = Search(found), seeds(found)
+    wanted = search.wanted().union(start.select("uid")).union(start.select("first_uid")).distinct()
+    texts = written(rows.select("uid", F.col("text").cast("string").alias("text")).join(written(wanted, "wanted"), "uid"), "texts")
+    out = search.clusters(texts), passages(start, texts)
+    discard(found, start, texts)
+    return out
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -368,24 +312,6 @@ def merged(runs: DataFrame) -> DataFrame:
     return fresh.withColumn("run", F.sum("fresh").over(w)).groupBy("uid", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "uid")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one row of each group of texts linked by an exact Jaccard similarity of threshold or more on 5-word shingles: the
-    one with the least id (nulls last). A text of fewer words is one shingle; null, empty and blank texts are equal."""
-    uid = free_name(docs, "row_uid")
-    rows = numbered(docs, uid)
-    like = written(clusters(rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text")), threshold, 0, whole=True).select("uid", "first_uid"), "near-copies")
-    # a row that has near copies, with its id
-    keys = rows.select(F.col(uid).alias("uid"), F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), F.col(uid).alias("u")).alias("k"))
-    named = written(like.join(keys, "uid"), "near-copy-ids")
-    stay = named.groupBy("first_uid").agg(F.min("k").alias("stays"))
-    gone = written(named.join(stay, "first_uid").where("k <> stays").select(F.col("uid").alias(uid)), "near-copies-gone")
-    return rows.join(gone, uid, "left_anti").drop(uid)
-
-
 REMOVED = "(uid <> first_uid or idx <> first_idx)"
 
 
@@ -394,10 +320,10 @@ def shared_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared with another row or line, n_removed of them that are not their cluster's first, n_passages (stretches that another row has too, overlapping ones as one),
     n_passages_removed (the same of those that an earlier row has).
 
-    Null and empty texts have no paragraphs. Which paragraph stays is settled by row order in the scan, then line. Repeated rows share all
+    Null and empty texts have no paragraphs. Which paragraph stays is settled by id (nulls last), the text's hash, then line. Repeated rows share all
     their paragraphs; null ids have class null and link nothing. Only the two columns named are read."""
-    rows = _ordered(docs, id_col, text_col)
-    lines, runs = written(clusters(rows), "shared-paragraphs"), written(passages(rows), "shared-passages")
+    rows = ordered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "uid", "id", "text")
+    lines, runs = repeats(rows)
     ids = rows.select("uid", "id")
     first = ids.select(F.col("uid").alias("first_uid"), F.col("id").alias("first_id"))
     pairs = lines.select("uid", "first_uid").union(runs.select("uid", "first_uid")).where("uid <> first_uid").distinct().join(first, "first_uid").join(ids, "uid")
@@ -417,8 +343,6 @@ def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _without(text: bytes, lines: set[int], spans: list[tuple[int, int]]) -> bytes:
     """text less the lines and the stretches of words given; line breaks beside what stays are kept."""
-    import re
-
     out, at = [], 0
     spans = sorted(spans)
     for idx, line in enumerate(text.split(b"\n")):
@@ -452,20 +376,18 @@ def _cut():
     return cut
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every paragraph and passage that repeats an earlier one taken out of its text; a text of nothing but such goes with its
-    row. Rows without repeats, null texts among them, are unchanged. chars_col, if there, is counted anew."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with every paragraph and passage that repeats an earlier one (by id, nulls last, then the text's hash) taken out of its text; a text of
+    nothing but such goes with its row. Rows without repeats, null texts among them, are unchanged. chars_col, if there, is counted anew."""
     uid, cut, lines_col, spans_col = (free_name(docs, n) for n in ("row_uid", "text_cut", "lines_gone", "spans_gone"))
-    rows = numbered(docs, uid)
-    plain = rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text"))
-    lines = clusters(plain).where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias("lines"))  # a text's own lines
-    runs = merged(passages(plain).where("uid <> first_uid")).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
+    rows = ordered(docs, uid, id_col, text_col)
+    lines, runs = repeats(rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text")))
+    lines = lines.where(REMOVED).groupBy("uid").agg(F.collect_set("idx").alias("lines"))  # a text's own lines
+    runs = merged(runs.where("uid <> first_uid")).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # and stretches
     gone = written(lines.join(runs, "uid", "full_outer"), "removals")
-    entries = F.coalesce(F.size("lines"), F.lit(0)) * 8 + F.coalesce(F.size("spans"), F.lit(0)) * 32
-    if (gone.agg(F.sum(entries + 96)).first()[0] or 0) <= SENT:
-        gone = F.broadcast(gone)  # of checked size; the texts then stay where they are
-    # texts are joined once; the cut ones are told by a non-null list
-    both = rows.join(gone.select(F.col("uid").alias(uid), F.col("lines").alias(lines_col), F.col("spans").alias(spans_col)), uid, "left")
+    # texts are joined once, by the same shuffle at every size, against the smaller side, without being sorted; the cut ones are told by a non-null list
+    gone = gone.select(F.col("uid").alias(uid), F.col("lines").alias(lines_col), F.col("spans").alias(spans_col)).hint("shuffle_hash")
+    both = rows.join(gone, uid, "left")
     lost = F.col(lines_col).isNotNull() | F.col(spans_col).isNotNull()
     both = both.withColumn(cut, _cut()(F.when(lost, F.col(text_col)), F.col(lines_col), F.col(spans_col)))
     out = both.withColumn(text_col, F.when(lost, F.col(cut)).otherwise(F.col(text_col))).where(~lost | F.col(cut).rlike(r"[^\x20\x09-\x0D]")).drop(uid, cut, lines_col, spans_col)

@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import bound_arrow, free_name, numbered, table, written
+from histomesh.llm.common import bound_arrow, discard, free_name, ordered, table, written
 from histomesh.llm.components import components
+from histomesh.llm.paragraphs import THRESHOLD as THRESHOLD_SIMILARITY
+from histomesh.llm.paragraphs import Search, features
 
 THRESHOLD = 2
 SHINGLE = 3
@@ -164,16 +166,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each group of near copies: the one with the least id (nulls last)."""
+def near_copies(rows: DataFrame, threshold: float = THRESHOLD_SIMILARITY) -> DataFrame:
+    """rows: uid (unique long), text. uid, first_uid (the least uid reachable) of every row whose text has another one of a Jaccard similarity of
+    threshold or more on 5-word shingles. A text of fewer words is one shingle; null, empty and blank texts are equal.
+
+    Candidates come from fingerprints of 5-word shingles that meet at anchors. At that similarity fingerprints differ by far more bits than the covering
+    is laid out for, so MinHash bands of the same shingles give the others. Each candidate is verified exactly, and links form components."""
+    found = features(rows, whole=True)
+    search = Search(found)
+    distinct = search.distinct.select("pid", "fp")
+    prints = written(distinct.groupBy("fp").agg(F.min("pid").alias("lo")), "distinct-fp")
+    group = prints.join(components(links(prints.select("fp"))), F.col("fp") == F.col("node"), "left").select("fp", "lo", F.coalesce("component", "fp").alias("root"))
+    group = written(group, "fp-groups")
+    # each text of a group of fingerprints against one of them
+    least = written(group.groupBy("root").agg(F.min("lo").alias("lo")), "fp-least")
+    near = distinct.join(group.select("fp", "root"), "fp").join(least, "root").where("pid <> lo").select(F.col("lo").alias("a"), F.col("pid").alias("b"))
+    search.pairs = search.pairs.union(written(near, "fp-pairs"))
+    texts = written(rows.select("uid", F.col("text").cast("string").alias("text")).join(search.wanted().distinct(), "uid"), "texts")
+    out = search.clusters(texts, threshold, whole=True).select("uid", "first_uid")
+    discard(found, prints, group, least, texts)
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD_SIMILARITY) -> DataFrame:
+    """docs without all but one row of each group of near_copies(): the one with the least id (nulls last), then text hash."""
     uid = free_name(docs, "row_uid")
-    rows = numbered(docs, uid)
-    prints = written(fingerprints(rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), F.col(uid).alias("u")).alias("k"), F.col(text_col).alias("t")), "k", "t"), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fp")
-    reach = components(links(distinct.select("fp")))
-    group = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
-    stay = group.groupBy("root").agg(F.min("least").alias("k"))
-    named = written(group.join(stay, "root").select("fp", "k"), "survivors")
-    # the rows that go: fewer than those that stay, so the side that is joined to whole texts is the smaller one
-    gone = written(prints.join(named, "fp").where("id <> k").select(F.col("id.u").alias(uid)), "near-copies")
-    return rows.join(gone, uid, "left_anti").drop(uid)
+    rows = ordered(docs, uid, id_col, text_col)
+    like = near_copies(rows.select(F.col(uid).alias("uid"), F.col(text_col).alias("text")), threshold)
+    gone = like.where("uid <> first_uid").select(F.col("uid").alias(uid))
+    return rows.join(gone.hint("shuffle_hash"), uid, "left_anti").drop(uid)

@@ -74,10 +74,32 @@ def test_simhash(spark, odd):
             root = [min(a, b) if x in (a, b) else x for x in root]
     got = {r.id: (r.fp & (1 << 64) - 1, r.component) for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: (prints[i], root[i]) for i in range(len(texts))}
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_near_copies(spark, odd):
+    """Against all pairs: components of exact similarity, whatever the rows' order."""
+    r = random.Random(8)
+    texts = []
+    for k in range(70):
+        w = prose(300 + k % 9, 70).split()
+        for at in r.sample(range(70), k % 5):
+            w[at] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += ["", None, " ", "one", "ONE", "one two", "two one"]
+    sets = [paragraphs._shingle_set((t or "").encode()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if paragraphs._similarity(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    docs = docs_of(spark, texts)
+    for rows in (docs, docs.repartition(7)):
+        kept = simhash.keep_one(rows)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "None"]
-    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
 def test_anchors_cover():
@@ -224,10 +246,11 @@ def test_mixing(spark, odd):
     rows = [(i, "w " * r.choice([1, 3, 3, 8, 20]), "en", [None, "b", "a", "é"][i % 4 if i % 3 else 1], 0) for i in range(400)]
     for df in (spark.createDataFrame(rows, DOCS), odd):
         got = mixing.mix(df).collect()
+        assert mixing.mix(df).columns == [*df.columns, *mixing.ADDED]
         assert len(got) == df.count() and sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
         sums: dict = {}
         for x in got:
-            s = sums.setdefault((x.missing, x.src), [0, 0, x.target])
+            s = sums.setdefault((int(x.source is None), x.source or ""), [0, 0, x.target])
             s[0] += x.size
             s[1] += x.taken
             assert x.taken in (0, x.size, 2 * x.size)
@@ -298,7 +321,10 @@ def test_paragraphs(spark, odd):
             a, b = root[i], root[j]
             root = [min(a, b) if x in (a, b) else x for x in root]
     want = {(i, root[i]) for i in range(len(lines)) if root.count(root[i]) > 1}
-    assert {(x.uid, x.first_uid) for x in paragraphs.clusters(rows).collect()} == want
+    for n in (paragraphs.BLOCK, 16):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(paragraphs, "BLOCK", n)
+            assert {(x.uid, x.first_uid) for x in paragraphs.Search(paragraphs.features(rows)).clusters(rows).collect()} == want
     # a passage inside other lines
     passage = prose(900, 60)
     texts = [f"{prose(910 + i, 25)} {passage} {prose(940 + i, 25)}" for i in range(6)] + [prose(970 + i, 60) for i in range(6)]
@@ -307,22 +333,52 @@ def test_paragraphs(spark, odd):
     assert [out[i].class_id for i in range(12)] == [0] * 6 + list(range(6, 12)) and [out[i].n_passages for i in range(12)] == [1] * 6 + [0] * 6
     left = {x.doc_id: x for x in paragraphs.remove_repeats(docs).collect()}
     assert left[0].text == texts[0] and all(left[i].text == texts[i] for i in range(6, 12))
-    assert all(len(left[i].text.split()) <= 75 and left[i].n_chars == len(left[i].text) for i in range(1, 6))
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(paragraphs, "SENT", -1)  # removals joined by a shuffle
-        assert {x.doc_id: x for x in paragraphs.remove_repeats(docs).collect()} == left
+    assert all(left[i].text == f"{prose(910 + i, 25)} {prose(940 + i, 25)}" and left[i].n_chars == len(left[i].text) for i in range(1, 6))
     kept = paragraphs.remove_repeats(odd)
     assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "2", "3", "4", "5", "None"]
     assert paragraphs.shared_paragraphs(odd.limit(0)).count() == 0
 
 
+def test_passages_against_all_pairs(spark):
+    """Passages of 40 words and more are those that a comparison of all pairs of texts finds, and reruns over other layouts agree."""
+    r = random.Random(12)
+    shared = [prose(1200 + k, r.randint(40, 70)).split() for k in range(8)]
+    texts = []
+    for k in range(60):
+        w = prose(1300 + k, r.randint(5, 60)).split()
+        for p in r.sample(shared, k % 3):
+            at = r.randrange(len(w) + 1)
+            w[at:at] = p
+        texts.append(" ".join(w))
+    words = [t.split() for t in texts]
+
+    def runs(x, y, least):
+        """Words of x inside equal stretches of at least so many words of y."""
+        hit, size = set(), [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                if x[i] == y[j]:
+                    size[i + 1][j + 1] = n = size[i][j] + 1
+                    if n >= least:
+                        hit |= set(range(i + 1 - n, i + 1))
+        return hit
+
+    gone = [set().union(*(runs(words[k], words[j], 40) for j in range(k))) for k in range(60)]
+    want = {k: " ".join(w for i, w in enumerate(words[k]) if i not in gone[k]) for k in range(60)}
+    docs = docs_of(spark, texts)
+    seen = []
+    for rows in (docs, docs.repartition(9)):
+        seen.append({x.doc_id: x.text for x in paragraphs.remove_repeats(rows).collect()})
+    assert seen[0] == seen[1] == {k: t for k, t in want.items() if t}
+
+
 def test_block_comparison_finds_every_link():
     import pyarrow as pa
 
     bodies = [prose(5, 30).encode(), (prose(5, 29) + " other").encode(), prose(6, 30).encode(), b"tiny one"]
-    table = pa.table({"key": [b"a", b"b", b"c", b"d"], "c": [b"a", b"b", b"c", b"d"], "body": bodies})
+    table = pa.table({"pid": [1, 2, 3, 4], "c": [1, 2, 3, 4], "body": bodies})
     got = paragraphs._compare(0.8)(table).to_pylist()
-    assert got == [{"a": b"a", "b": b"b"}]
+    assert got == [{"a": 1, "b": 2}]
 
 
 def test_pipeline(spark, tmp_path):
