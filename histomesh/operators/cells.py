@@ -69,25 +69,45 @@ def batches(cells: DataFrame, size: int, order: str = "cell_idx") -> DataFrame:
 
 
 def subsample(cells: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows (all, if there are no more), the same each time: those with the least seeded hash of their id."""
-    return cells.orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id").limit(n)
+    """n rows (all, if there are no more), the same each time: those with the least seeded hash of their id. The hash up to which they go is found from
+    counts by its prefix, so that only the rows of one prefix are ranked."""
+    if n <= 0:
+        return cells.limit(0)
+    h = F.xxhash64(F.lit(seed), "cell_id")
+    p = F.shiftright(h, 48)
+    counts = cells.groupBy(p.alias("p")).agg(F.count(F.lit(1)).alias("m"))
+    cut = counts.withColumn("upto", F.sum("m").over(Window.orderBy("p"))).where((F.col("upto") >= n) & (F.col("upto") - F.col("m") < n)).first()  # at most 65536 rows
+    if cut is None:
+        return cells
+    rest = cells.where(p == cut.p).orderBy(h, "cell_id").limit(n - (cut.upto - cut.m))
+    return cells.where(p < cut.p).union(rest)
 
 
 def add_column(cells: DataFrame, values: DataFrame, name: str, key: str = "cell_id") -> DataFrame:
-    """cells with the column name of values, which must hold each key once."""
+    """cells with the column name of values, which must hold each key once (cells without one get null)."""
+    if not values.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
     return cells.join(values.select(key, name), key, "left")
 
 
 def um_to_px(um, pixel_size: float, level: int = 0):
     """Pixels at a pyramid level, halves to even."""
+    _check_scale(pixel_size, level)
     return F.bround(um / (pixel_size * 2**level)).cast("long")
 
 
+def _check_scale(pixel_size: float, level: int) -> None:
+    if pixel_size <= 0 or level < 0:
+        raise ValueError("pixel_size must be positive, level at least 0")
+
+
 def px_to_um(px, pixel_size: float, level: int = 0):
+    _check_scale(pixel_size, level)
     return px * (pixel_size * 2**level)
 
 
 def scale_coordinates(cells: DataFrame, pixel_size: float, level: int = 0) -> DataFrame:
+    _check_scale(pixel_size, level)
     scale = pixel_size * 2**level
     return cells.withColumns({"x": F.col("x") / scale, "y": F.col("y") / scale})
 

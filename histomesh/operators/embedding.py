@@ -309,21 +309,22 @@ def harmony(emb: DataFrame, batches_of: DataFrame, n_clusters: int = 8, rounds:
         r = np.exp(-2 * (1 - u @ c.T) / sigma) * balance[:, batch].T
         return r / np.maximum(r.sum(axis=1, keepdims=True), 1e-300), u
 
-    now = rows
+    # z: the corrected rows, by which rows are assigned; what is taken off is always found from, and taken off, the rows as they came
+    now = rows.withColumn("z", F.col("v"))
     for _ in range(rounds):
 
         def sums(bs: Iterator[pd.DataFrame], centres=centres, balance=balance) -> Iterator[pd.DataFrame]:
             out = np.zeros((k, nb, 2 * dim + 1))
             for b in bs:
                 if len(b):
-                    v, batch = np.array(b["v"].tolist(), float), b["batch"].map(names.index).to_numpy()
-                    r, u = soft(v, batch, centres, balance)
+                    v, z, batch = np.array(b["v"].tolist(), float), np.array(b["z"].tolist(), float), b["batch"].map(names.index).to_numpy()
+                    r, u = soft(z, batch, centres, balance)
                     part = np.concatenate([v, u, np.ones((len(v), 1))], axis=1)
                     for j in range(nb):
                         out[:, j] += r[batch == j].T @ part[batch == j]
             yield pd.DataFrame({"s": [out.ravel()]})
 
-        got = now.select("v", "batch").mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy().reshape(k, nb, -1)  # clusters x batches
+        got = now.select("v", "z", "batch").mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy().reshape(k, nb, -1)  # clusters x batches
         size = got[:, :, -1]
         mean = got[:, :, :dim].sum(axis=1) / np.maximum(size.sum(axis=1), 1e-12)[:, None]
         shift = size[..., None] / (size[..., None] + ridge) * (got[:, :, :dim] / np.maximum(size, 1e-12)[..., None] - mean[:, None])
@@ -333,12 +334,12 @@ def harmony(emb: DataFrame, batches_of: DataFrame, n_clusters: int = 8, rounds:
         def correct(bs: Iterator[pd.DataFrame], centres=centres, balance=before, shift=shift) -> Iterator[pd.DataFrame]:
             for b in bs:
                 if len(b):
-                    v, batch = np.array(b["v"].tolist(), float), b["batch"].map(names.index).to_numpy()
-                    r, _ = soft(v, batch, centres, balance)
-                    yield b.assign(v=list(v - np.einsum("nk,knd->nd", r, shift[:, batch])))[["cell_id", "v", "batch"]]
+                    v, z, batch = np.array(b["v"].tolist(), float), np.array(b["z"].tolist(), float), b["batch"].map(names.index).to_numpy()
+                    r, _ = soft(z, batch, centres, balance)
+                    yield b.assign(z=list(v - np.einsum("nk,knd->nd", r, shift[:, batch])))[["cell_id", "v", "z", "batch"]]
 
-        now = checkpointed(now.select("cell_id", "v", "batch").mapInPandas(correct, f"cell_id {kind}, v array<double>, batch string"))
+        now = checkpointed(now.select("cell_id", "v", "z", "batch").mapInPandas(correct, f"cell_id {kind}, v array<double>, z array<double>, batch string"))
         centres = got[:, :, dim : 2 * dim].sum(axis=1)
-    return now.select("cell_id", "v")
+    return now.select("cell_id", F.col("z").alias("v"))
 
 

@@ -54,7 +54,11 @@ def pearson_residuals(expr: DataFrame, theta: float = 100.0) -> DataFrame:
 
 
 def select_genes(expr: DataFrame, genes: list[str]) -> DataFrame:
-    return expr.where(F.col("gene").isin(genes))
+    """The entries of the genes given, with pos, their place in the list; a gene listed twice comes twice, one without any entry raises."""
+    wanted = expr.sparkSession.createDataFrame([(g, k) for k, g in enumerate(genes)], f"gene {expr.schema['gene'].dataType.simpleString()}, pos long")
+    if not wanted.join(expr.select("gene").distinct(), "gene", "left_anti").isEmpty():
+        raise ValueError("no such genes")
+    return expr.join(F.broadcast(wanted), "gene")  # as long as the caller's list
 
 
 def select_cells(expr: DataFrame, cells: list) -> DataFrame:

@@ -1,13 +1,16 @@
 """Spatial graphs and what is counted on them.
 
 Points lie on a grid of tiles: neighbours meet by an equi-join on the tile, one side replicated to the 3 x 3 tiles around. Edges are
-(cell_id_a, cell_id_b, distance) with a < b, each once.
+(cell_id_a, cell_id_b, distance) with a < b, each once. Nearest neighbours meet in tiles of even counts, compared in numpy.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,39 +41,138 @@ def radius_graph(points: DataFrame, radius: float) -> DataFrame:
     return close_pairs(points, radius).select(F.col("a").alias("cell_id_a"), F.col("b").alias("cell_id_b"), F.greatest("d", F.lit(NEAREST)).alias("distance"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """qid, cell_id, d of the k nearest points (fewer if there are no more) other than the query itself; ties by id. queries: qid, x, y.
-
-    A query whose k-th distance is above the tile width is asked again with tiles three times as wide; when a tile is as wide as the extent, all points
-    are neighbours. The first width is below what the mean density asks for, as most points of an uneven pattern lie where it is dense."""
-    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    if not box[4]:
-        return queries.select("qid", F.col("qid").alias("cell_id"), F.lit(0.0).alias("d")).limit(0)
-    reach = queries.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    lo = lambda i: min(v for v in (box[i], reach[i]) if v is not None)
-    hi = lambda i: max(v for v in (box[i], reach[i]) if v is not None)
-    wide, high = hi(1) - lo(0), hi(3) - lo(2)
-    extent = max(wide, high, 1e-9)
-    width = min(extent, max(math.sqrt(max(wide * high, 1e-18) * (k + 1) / box[4]) / 3, extent * 1e-6))
-    todo, done = queries.select("qid", "x", "y"), None
-    at = points.select("cell_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    while True:
-        last = width >= extent
-        tiled = _tiled(todo, width, True)
-        grid = at.withColumns({"tx": F.floor(F.col("px") / width), "ty": F.floor(F.col("py") / width)})
-        d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
-        met = tiled.join(grid, ["tx", "ty"]).where("qid <> cell_id").select("qid", "cell_id", d.alias("d"))
-        w = Window.partitionBy("qid").orderBy("d", "cell_id")
-        best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        sure = best.groupBy("qid").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).where(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= width))).select("qid")
-        best = checkpointed(best.join(sure, "qid").select("qid", "cell_id", "d"))
-        done = best if done is None else done.union(best)
-        if last:
-            return done
-        todo = checkpointed(todo.join(best.select("qid").distinct(), "qid", "left_anti"))
-        if todo.isEmpty():
-            return done
-        width = min(3 * width, extent)
+#: Points of a tile, about, in nearest-neighbour search, and at least for each neighbour asked for; queries whose distances are held at once.
+TILE, EACH, CHUNK = 2048, 8, 256
+
+
+class Cuts:
+    """Tiles of about as many points each: strips of even counts along x, and within each of even counts along y. by: the groups' column, or None."""
+
+    def __init__(self, points: DataFrame, by: str | None, cap: int):
+        g = (F.col(by).cast("string") if by else F.lit("all")).alias("g")
+        rows = points.select(g, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        counts = dict(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a group
+        strips = {k: max(1, math.ceil(math.sqrt(n / cap))) for k, n in counts.items()}
+        most = max(strips.values(), default=1)
+        self.x = {k: np.zeros(0) for k in counts}
+        self.y = {k: [np.zeros(0)] for k in counts}
+        if most > 1:
+            shares = F.array(*[F.lit(j / most) for j in range(1, most)])
+            found = rows.groupBy("g").agg(F.percentile_approx("x", shares, F.lit(10_000)).alias("cuts")).collect()
+            self.x = {r.g: self._thinned(r.cuts, most, strips[r.g]) for r in found}
+
+            def strip(batches: Iterator[pd.DataFrame], cuts=self.x) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    out = np.zeros(len(b), np.int64)
+                    for k in b["g"].unique():
+                        at = (b["g"] == k).to_numpy()
+                        out[at] = np.searchsorted(cuts[k], b["x"].to_numpy()[at], "right")
+                    yield b.assign(s=out)[["g", "s", "y"]]
+
+            found = rows.mapInPandas(strip, "g string, s long, y double").groupBy("g", "s").agg(F.percentile_approx("y", shares, F.lit(10_000)).alias("cuts")).collect()  # a row a strip
+            self.y = {k: [np.zeros(0)] * (len(v) + 1) for k, v in self.x.items()}
+            for r in found:
+                self.y[r.g][r.s] = self._thinned(r.cuts, most, strips[r.g])
+        self.first, at = {}, 0
+        for k in sorted(counts):
+            n = np.array([len(c) + 1 for c in self.y[k]])
+            self.first[k] = at + np.cumsum(n) - n
+            at += int(n.sum())
+        self.tiles = at
+
+    @staticmethod
+    def _thinned(cuts: list, most: int, strips: int) -> np.ndarray:
+        return np.unique(np.array(cuts, float)[[-(-j * most // strips) - 1 for j in range(1, strips)]])
+
+    def home(self, k: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s = np.searchsorted(self.x[k], x, "right")
+        out = np.empty(len(x), np.int64)
+        for i in np.unique(s).tolist():
+            at = s == i
+            out[at] = self.first[k][i] + np.searchsorted(self.y[k][i], y[at], "right")
+        return out
+
+    def around(self, k: str, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, tile) of every tile that the box of half width r around a point meets."""
+        lo, hi = np.searchsorted(self.x[k], x - r, "left"), np.searchsorted(self.x[k], x + r, "right")
+        rows, tiles = [], []
+        for i in range(len(self.y[k])):
+            at = np.flatnonzero((lo <= i) & (i <= hi))
+            if len(at):
+                a, b = np.searchsorted(self.y[k][i], y[at] - r[at], "left"), np.searchsorted(self.y[k][i], y[at] + r[at], "right")
+                n = b - a + 1
+                rows.append(np.repeat(at, n))
+                tiles.append(self.first[k][i] + np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *tiles])
+
+
+def _least(q: pd.DataFrame, p: pd.DataFrame, k: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, point row, d) of the k nearest points of each query, nearest first, ties by id; p in order of id. q may have a column r: nothing beyond it."""
+    qx, qy, px, py = (f[c].to_numpy(float) for f in (q, p) for c in ("x", "y"))
+    ids = p["cell_id"].to_numpy()
+    bound = q["r"].to_numpy(float) if "r" in q else np.full(len(q), np.inf)
+    out = [], [], []
+    for at in range(0, len(q), CHUNK):
+        s = slice(at, at + CHUNK)
+        d = np.sqrt((qx[s, None] - px) ** 2 + (qy[s, None] - py) ** 2)
+        if own:
+            d[q["qid"].to_numpy()[s, None] == ids[None]] = np.inf
+        top = np.minimum(bound[s], np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] > k else bound[s]
+        row, col = np.nonzero((d <= top[:, None]) & np.isfinite(d))
+        v = d[row, col]
+        order = np.lexsort((col, v, row))
+        row, col, v = row[order], col[order], v[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        keep = place < k
+        for x, y in zip(out, (row[keep] + at, col[keep], v[keep]), strict=True):
+            x.append(y)
+    return tuple(np.concatenate([np.zeros(0, np.int64 if i < 2 else float), *x]) for i, x in enumerate(out))
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, by: str | None = None, own: bool = True) -> DataFrame:
+    """qid, cell_id, d (and by) of the k nearest points (fewer if there are no more); ties by id. queries: qid, x, y. own: not the query itself. by: only
+    points of the query's group, all groups at once.
+
+    Tiles of about TILE points: each query first looks at its own tile, which gives it a bound, and then, within that bound, at the other tiles that the
+    bound reaches. So no tile is denser than others, and two searches are all."""
+    cuts = Cuts(points, by, max(TILE, EACH * k))
+    kind, qkind = points.schema["cell_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    group = (F.col(by).cast("string") if by else F.lit("all")).alias("g")
+
+    def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, part in b.groupby("g", sort=False):
+                if g in cuts.first:
+                    yield part.assign(t=cuts.home(g, part["x"].to_numpy(float), part["y"].to_numpy(float)))
+
+    asked = queries.select(group, "qid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(at_home, f"g string, qid {qkind}, x double, y double, t long")
+    held = points.select(group, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(at_home, f"g string, cell_id {kind}, x double, y double, t long")
+    held = checkpointed(held)
+
+    def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("cell_id", kind="stable")
+        row, col, d = _least(q, p, k, own)
+        cols = {c: q[c].to_numpy()[row] for c in ("g", "qid", "x", "y", "t")}
+        return pd.DataFrame(cols | {"cell_id": p["cell_id"].to_numpy()[col], "d": d})
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, part in b.groupby("g", sort=False):
+                row, tile = cuts.around(g, part["x"].to_numpy(float), part["y"].to_numpy(float), part["r"].to_numpy(float))
+                part = part.iloc[row].assign(to=tile)
+                yield part[part["to"] != part["t"]][["g", "qid", "x", "y", "t", "r", "to"]]
+
+    cols = f"g string, qid {qkind}, x double, y double, t long, cell_id {kind}, d double"
+    near = checkpointed(asked.groupBy("t").cogroup(held.groupBy("t")).applyInPandas(search, cols))
+    bound = asked.join(near.groupBy("g", "qid").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")), ["g", "qid"], "left").withColumn("r", F.when(F.col("n") >= k, F.col("far")).otherwise(float("inf")))
+    reach = checkpointed(bound.select("g", "qid", "x", "y", "t", "r").mapInPandas(further, f"g string, qid {qkind}, x double, y double, t long, r double, to long"))
+    more = reach.groupBy("to").cogroup(held.groupBy("t")).applyInPandas(search, cols)
+    out = ["g", "qid", "cell_id", "d"]
+    open_ = reach.select("g", "qid").distinct()
+    merged = near.join(open_, ["g", "qid"], "left_semi").select(*out).union(more.select(*out))
+    merged = merged.withColumn("rank", F.row_number().over(Window.partitionBy("g", "qid").orderBy("d", "cell_id"))).where(F.col("rank") <= k).select(*out)
+    done = near.join(open_, ["g", "qid"], "left_anti").select(*out).union(merged)
+    return done.select(*([F.col("g").alias(by)] if by else []), "qid", "cell_id", "d")
 
 
 def knn_graph(points: DataFrame, k: int = 10) -> DataFrame:
@@ -157,14 +259,17 @@ def border_enrichment(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def clustering_coefficient(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """Closed share of each cell's pairs of neighbours; 0 below two neighbours. Triangles are counted once, along edges from lower to higher degree, so that hubs don't pair up their neighbours."""
-    degree = both_ways(edges).groupBy("cell_id").agg(F.count(F.lit(1)).alias("degree"))
+    """Closed share of each cell's pairs of neighbours; 0 below two neighbours. Triangles are counted once, along edges from lower to higher degree, so
+    that hubs don't pair up their neighbours: an edge's triangles are what its ends' lists of higher neighbours have in common."""
+    edges = checkpointed(edges.select("cell_id_a", "cell_id_b", "distance"))
+    degree = checkpointed(both_ways(edges).groupBy("cell_id").agg(F.count(F.lit(1)).alias("degree")))
     da, db = (degree.select(F.col("cell_id").alias(f"cell_id_{s}"), F.col("degree").alias(f"d{s}")) for s in "ab")
     up = edges.join(da, "cell_id_a").join(db, "cell_id_b")
     first = F.struct("da", "cell_id_a") < F.struct("db", "cell_id_b")
     up = checkpointed(up.select(F.when(first, F.col("cell_id_a")).otherwise(F.col("cell_id_b")).alias("u"), F.when(first, F.col("cell_id_b")).otherwise(F.col("cell_id_a")).alias("v")))
-    fork = up.join(up.select("u", F.col("v").alias("w")), "u").where("v <> w")
-    closed = fork.join(up.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
-    corners = closed.select(F.explode(F.array("u", "v", "w")).alias("cell_id")).groupBy("cell_id").agg(F.count(F.lit(1)).alias("t"))
+    lists = up.groupBy("u").agg(F.collect_list("v").alias("vs"))  # of higher degree: at most the root of twice the edges
+    both = up.join(lists, "u").join(lists.select(F.col("u").alias("v"), F.col("vs").alias("ws")), "v").select("u", "v", F.array_intersect("vs", "ws").alias("w")).where("size(w) > 0")
+    corners = both.select(F.explode(F.concat(F.array(F.struct(F.col("u").alias("cell_id"), F.size("w").alias("n")), F.struct(F.col("v").alias("cell_id"), F.size("w").alias("n"))), F.transform("w", lambda x: F.struct(x.alias("cell_id"), F.lit(1).alias("n"))))).alias("c"))
+    corners = corners.groupBy("c.cell_id").agg(F.sum("c.n").alias("t"))
     out = cells.select("cell_id").join(degree, "cell_id", "left").join(corners, "cell_id", "left")
     return out.select("cell_id", F.when(F.col("degree") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering_coeff"))

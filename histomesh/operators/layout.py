@@ -133,9 +133,11 @@ def umap(emb: DataFrame, n_neighbors: int = 15, min_dist: float = 0.5, n_epochs:
             far_p, far_q = np.repeat(p, negatives), rng.integers(0, len(y), len(p) * negatives)
             away = push(far_p, far_q, False)
             for c in range(2):
-                # steps of one epoch are taken together; the mean over a point's edges keeps hubs steady
+                # steps of one epoch are taken together; the mean over a point's edges keeps hubs steady. All pushes on a point at the rim of a dense start
+                # go one way, where one after the other would fade: the whole move is clipped as a single step is
                 total = np.bincount(p, move[:, c], len(y)) + np.bincount(far_p, away[:, c], len(y))
-                y[:, c] += rate * total / np.maximum(np.bincount(p, minlength=len(y)), 1) * np.minimum(np.bincount(p, minlength=len(y)), 4)
+                n = np.bincount(p, minlength=len(y))
+                y[:, c] += rate * np.clip(total / np.maximum(n, 1) * np.minimum(n, 4), -4, 4)
         return y
 
     return _laid_out(emb, n_fit, n_neighbors, kernel)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.functions.mathx import chi2_sf, two_sided
-from histomesh.operators.graphs import close_pairs, colocalization, nearest
+from histomesh.operators.graphs import CHUNK, TILE, Cuts, colocalization, nearest
+from histomesh.sources.catalog import checkpointed
 
 TINY = 1e-10
 
@@ -35,23 +37,52 @@ def together(points: DataFrame) -> DataFrame:
 
 
 def ripley_k(points: DataFrame, n_radii: int = 50, max_radius: float | None = None) -> DataFrame:
-    """cluster, r, K, K_theo: A / (n (n - 1)) times the ordered pairs within r, without edge correction. Pairs meet once in a tile join as wide as
-    the largest radius and are counted by radius step at once."""
+    """cluster, r, K, K_theo: A / (n (n - 1)) times the ordered pairs within r, without edge correction. All clusters at once, in tiles of even counts;
+    two tiles meet if their boxes lie within the largest radius, and pairs are counted by radius step at once (a pair of boxes whose least and largest
+    distance lie in one step without looking at points)."""
     steps = radii(points, n_radii, max_radius)
-    tops = {r.cluster: r.top for r in steps.select("cluster", "top").distinct().collect()}  # a row a cluster
-    counts = None
-    for cluster, top in sorted(tops.items(), key=lambda x: str(x[0])):
-        if top <= 0:
-            continue
-        d = close_pairs(points.where(F.col("cluster").eqNullSafe(F.lit(cluster))), top)
-        # the least step that reaches d
-        step = F.least(F.lit(n_radii), F.greatest(F.lit(1), F.ceil(F.col("d") / top * n_radii - 1e-9))).cast("int")
-        one = d.groupBy(step.alias("j")).agg(F.count(F.lit(1)).alias("m")).withColumn("cluster", F.lit(cluster))
-        counts = one if counts is None else counts.union(one)
-    if counts is None:
-        return steps.select("cluster", "r", F.lit(0.0).alias("K"), (math.pi * F.col("r") * F.col("r")).alias("K_theo"))
-    upto = counts.withColumnsRenamed({"j": "i", "cluster": "c"})
-    full = steps.join(upto, F.col("cluster").eqNullSafe(F.col("c")) & (F.col("i") <= F.col("j")), "left").groupBy("cluster", "n", "area", "j", "r").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
+    tops = {str(r.cluster): float(r.top) for r in steps.select("cluster", "top").distinct().collect() if r.top > 0}  # a row a cluster
+    cuts = Cuts(points, "cluster", TILE)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, part in b.groupby("g", sort=False):
+                if g in tops:
+                    yield part.assign(t=cuts.home(g, part["x"].to_numpy(float), part["y"].to_numpy(float)))
+
+    rows = points.select(F.col("cluster").cast("string").alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    tiled = checkpointed(rows.mapInPandas(dealt, "g string, x double, y double, t long"))
+    boxes = tiled.groupBy("g", "t").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+    top = points.sparkSession.createDataFrame(list(tops.items()) or [("", 0.0)], "g string, top double")
+    boxes = boxes.join(F.broadcast(top), "g")  # a row a cluster
+    a, b = (boxes.select("g", "top", *[F.col(c).alias(f"{c}{s}") for c in ("t", "x0", "x1", "y0", "y1", "n")]) for s in "ab")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0a") - F.col(f"{c}1b"), F.col(f"{c}0b") - F.col(f"{c}1a"))
+    span = lambda c: F.greatest(F.col(f"{c}1a") - F.col(f"{c}0b"), F.col(f"{c}1b") - F.col(f"{c}0a"))
+    step_of = lambda d: F.least(F.lit(n_radii), F.greatest(F.lit(1), F.ceil(d / F.col("top") * n_radii - 1e-9))).cast("int")
+    meet = a.join(b.drop("top"), "g").where("ta <= tb").withColumns({"near": F.hypot(gap("x"), gap("y")), "far": F.hypot(span("x"), span("y"))}).where("near <= top")
+    one = (F.col("ta") != F.col("tb")) & (F.col("far") <= F.col("top")) & (step_of(F.col("near")) == step_of(F.col("far")))
+    meet = checkpointed(meet.select("g", "ta", "tb", "top", "na", "nb", one.alias("one"), step_of(F.col("far")).alias("i")))
+    whole = meet.where("one").select("g", "i", (F.col("na") * F.col("nb")).alias("m"))
+    # both tiles' points go to their pair
+    sides = meet.where("not one").select("g", "top", F.struct("ta", "tb").alias("pair"), F.explode(F.array(F.struct(F.col("ta").alias("t"), F.lit(0).alias("side")), F.struct(F.col("tb").alias("t"), F.lit(1).alias("side")))).alias("s"))
+    sides = sides.where("pair.ta <> pair.tb or s.side = 0").select("g", "top", "pair", "s.t", "s.side")
+    sent = sides.join(tiled, ["g", "t"]).select("g", "top", F.col("pair.ta").alias("ta"), F.col("pair.tb").alias("tb"), "side", "x", "y")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        g, limit = rows["g"].iloc[0], float(rows["top"].iloc[0])
+        same = rows["ta"].iloc[0] == rows["tb"].iloc[0]
+        p, q = ((r["x"].to_numpy(), r["y"].to_numpy()) for r in (rows[rows["side"] == 0], rows[rows["side"] == (0 if same else 1)]))
+        m = np.zeros(n_radii + 1, np.int64)
+        for at in range(0, len(p[0]), CHUNK):
+            d = np.sqrt((p[0][at : at + CHUNK, None] - q[0]) ** 2 + (p[1][at : at + CHUNK, None] - q[1]) ** 2)
+            if same:
+                d = d[np.arange(d.shape[1])[None] > np.arange(at, at + len(d))[:, None]]
+            d = d[d <= limit]
+            m += np.bincount(np.clip(np.ceil(d / limit * n_radii - 1e-9), 1, n_radii).astype(int), minlength=n_radii + 1)
+        return pd.DataFrame({"g": g, "i": np.arange(1, n_radii + 1, dtype=np.int32), "m": m[1:]})
+
+    counts = whole.union(sent.groupBy("g", "ta", "tb").applyInPandas(count, "g string, i int, m long")).groupBy("g", "i").agg(F.sum("m").alias("m"))
+    full = steps.join(counts, (F.coalesce(F.col("cluster").cast("string"), F.lit("")) == F.coalesce("g", F.lit(""))) & (F.col("i") <= F.col("j")), "left").groupBy("cluster", "n", "area", "j", "r").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
     return full.select("cluster", "r", (F.col("area") * 2 * F.col("m") / (F.col("n") * (F.col("n") - 1))).alias("K"), (math.pi * F.col("r") * F.col("r")).alias("K_theo"))
 
 
@@ -61,12 +92,8 @@ def ripley_l(points: DataFrame, **options) -> DataFrame:
 
 def nearest_distances(points: DataFrame) -> DataFrame:
     """cluster, d: each point's distance to the nearest other one of its cluster."""
-    out = None
-    for (cluster,) in sorted(map(tuple, points.select("cluster").distinct().collect()), key=str):
-        own = points.where(F.col("cluster").eqNullSafe(F.lit(cluster)))
-        d = nearest(own.select(F.col("cell_id").alias("qid"), "x", "y"), own, 1).select(F.lit(cluster).alias("cluster"), "d")
-        out = d if out is None else out.union(d)
-    return out
+    kind = points.schema["cluster"].dataType
+    return nearest(points.select(F.col("cell_id").alias("qid"), "x", "y", "cluster"), points, 1, by="cluster").select(F.col("cluster").cast(kind), "d")
 
 
 def _reached(steps: DataFrame, d: DataFrame, name: str) -> DataFrame:
@@ -82,13 +109,14 @@ def ripley_g(points: DataFrame, n_radii: int = 50, max_radius: float | None = No
 
 def ripley_f(points: DataFrame, n_radii: int = 50, max_radius: float | None = None, n_random: int = 1000, seed: int = 42) -> DataFrame:
     """cluster, r, F (share of n_random uniform points with a point of the cluster within r), F_theo. One random stream across clusters."""
-    spark, rng, out = points.sparkSession, np.random.default_rng(seed), None
+    rng, at = np.random.default_rng(seed), []
     box = points.groupBy("cluster").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).where("n > 1").collect()
     for b in sorted(box, key=lambda b: str(b.cluster)):
         xs, ys = rng.uniform(b.x0, b.x1, n_random), rng.uniform(b.y0, b.y1, n_random)
-        at = spark.createDataFrame(pd.DataFrame({"qid": [f"random-{k}" for k in range(n_random)], "x": xs, "y": ys}))
-        d = nearest(at, points.where(F.col("cluster").eqNullSafe(F.lit(b.cluster))), 1).select(F.lit(b.cluster).alias("cluster"), "d")
-        out = d if out is None else out.union(d)
+        at += [(f"random-{k}", float(x), float(y), b.cluster) for k, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    kind = points.schema["cluster"].dataType
+    asked = points.sparkSession.createDataFrame(at, f"qid string, x double, y double, cluster {kind.simpleString()}")
+    out = nearest(asked, points, 1, by="cluster", own=False).select(F.col("cluster").cast(kind), "d")
     return _reached(radii(points, n_radii, max_radius), out, "F")
 
 
@@ -120,41 +148,52 @@ def quadrat_density(points: DataFrame, n_bins: int = 10) -> DataFrame:
     return out.mapInPandas(tail, f"cluster {kind}, chi2 double, density_mean double, density_std double, p_value double")
 
 
-def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int = 1000, statistic: str = "ratio", seed: int = 42, replicas: int = 8) -> DataFrame:
+def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int = 1000, statistic: str = "ratio", seed: int = 42) -> DataFrame:
     """cluster_a, cluster_b, observed_ratio, p_value, z_score of edges between clusters under label permutation. statistic: "ratio" (observed over
-    expected, of labelled edges) or "count". Every task shuffles labels by its own share of permutations; edges and labels go out once, as integers."""
+    expected, of labelled edges) or "count".
+
+    A permutation ranks the cells by a seeded hash and deals the labels out along the ranks, so a cell's label follows from its hash and the hashes at
+    which one label's share ends and the next one's begins. Those are found from counts by hash prefix and a ranking of the few cells with the
+    prefix in which a share ends; edges are then counted in place, without a join. Cells and edges stay where they are at every size."""
+    if statistic not in ("ratio", "count"):
+        raise ValueError("statistic must be ratio or count")
     spark = edges.sparkSession
-    rows = clusters.select("cell_id", F.col("cluster").cast("string").alias("c")).orderBy("cell_id").toPandas()
-    names, labels = np.unique(rows["c"].to_numpy(dtype=str), return_inverse=True)
-    place = pd.Series(np.arange(len(rows)), index=rows["cell_id"])
-    pairs = edges.select("cell_id_a", "cell_id_b").toPandas()
-    a, b = place.reindex(pairs["cell_id_a"]).to_numpy(), place.reindex(pairs["cell_id_b"]).to_numpy()
-    ok = ~(np.isnan(a) | np.isnan(b))
-    a, b, k = a[ok].astype(np.int32), b[ok].astype(np.int32), len(names)
-    sent = spark.sparkContext.broadcast((labels.astype(np.int32), a, b))
-
-    def count(lab, a, b):
-        x, y = lab[a], lab[b]
-        return np.bincount(np.minimum(x, y) * k + np.maximum(x, y), minlength=k * k)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lab, a, b = sent.value
-        for batch in batches:
-            for rep in batch["id"]:
-                yield pd.DataFrame({"rep": rep, "pair": np.arange(k * k), "n": count(np.random.default_rng([seed, int(rep)]).permutation(lab), a, b)})
-
-    null = spark.range(0, n_permutations, 1, replicas).mapInPandas(work, "rep long, pair int, n long")
-    seen = count(labels, a, b)
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
-    base = spark.createDataFrame([(i * k + j, str(names[i]), str(names[j]), int(seen[i * k + j])) for i, j in upper], "pair int, cluster_a string, cluster_b string, seen long")  # clusters squared
-    stats = null.join(F.broadcast(base), "pair").groupBy("cluster_a", "cluster_b", "seen").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.count_if(F.col("n") >= F.col("seen")).alias("above"))
-    z = F.when(F.col("sd") > 0, (F.col("seen") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    out = stats.select("cluster_a", "cluster_b", "seen", ((F.col("above") + 1) / (n_permutations + 1)).alias("p_value"), z.alias("z_score"))
+    named = checkpointed(clusters.where("cluster is not null").select("cell_id", F.col("cluster").cast("string").alias("c")))
+    sizes = sorted(map(tuple, named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()))  # a row a cluster
+    names, n = [c for c, _ in sizes], sum(m for _, m in sizes)
+    ends = np.cumsum([m for _, m in sizes])[:-1]
+    end = lambda s: named.select(F.col("cell_id").alias(f"cell_id_{s}"), F.col("c").alias(f"c{s}"))
+    labelled = checkpointed(edges.select("cell_id_a", "cell_id_b").join(end("a"), "cell_id_a").join(end("b"), "cell_id_b"))
+    hashed = lambda c: F.xxhash64(F.lit(seed), "rep", c)
+    reps = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("rep")
+    bits = int(np.clip(np.log2(max(1, n / 64)), 4, 12))
+    prefix = lambda h: F.shiftright(h, 64 - bits)
+
+    ranks = named.select("cell_id", reps).select("rep", hashed("cell_id").alias("h"))
+    by = ranks.groupBy("rep", prefix("h").alias("p")).agg(F.count(F.lit(1)).alias("m"))
+    upto = by.withColumn("upto", F.sum("m").over(Window.partitionBy("rep").orderBy("p")))
+    share = spark.createDataFrame([(i, int(e)) for i, e in enumerate(ends)] or [(0, n)], "i int, last long")  # a row a cluster
+    cut = checkpointed(upto.join(F.broadcast(share), (F.col("upto") >= F.col("last")) & (F.col("upto") - F.col("m") < F.col("last"))).select("rep", "p", "i", (F.col("last") - F.col("upto") + F.col("m")).alias("k")))
+    few = ranks.withColumn("p", prefix("h")).join(F.broadcast(cut.select("rep", "p").distinct()), ["rep", "p"])  # at most a row a permutation and cluster
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("rep", "p").orderBy("h")))
+    last = cut.join(few, ["rep", "p", "k"]).groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("last"))
+    last = checkpointed(last)
+    label = lambda c: reduce(lambda a, b: a + b, [(hashed(c) > F.get("last", i)).cast("int") for i in range(len(ends))], F.lit(0))
+    many = labelled.select("cell_id_a", "cell_id_b", reps).join(F.broadcast(last), "rep").select("rep", label("cell_id_a").alias("x"), label("cell_id_b").alias("y"))
+    null = many.groupBy("rep", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    place = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, c string")
+    first, second = place.select(F.col("i").alias("x"), F.col("c").alias("cluster_a")), place.select(F.col("i").alias("y"), F.col("c").alias("cluster_b"))
+    seen = labelled.groupBy(F.least("ca", "cb").alias("cluster_a"), F.greatest("ca", "cb").alias("cluster_b")).agg(F.count(F.lit(1)).alias("seen"))
+    base = first.join(second, F.col("x") <= F.col("y")).join(seen, ["cluster_a", "cluster_b"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))  # clusters squared
+    # a pair without an edge in a permutation has no row there: its zeros are added to the sums
+    sums = base.join(null, ["x", "y"], "left").groupBy("cluster_a", "cluster_b", "seen").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("q"), F.count_if(F.col("n") >= F.col("seen")).alias("above"), F.count("n").alias("some"))
+    mean = F.col("s") / n_permutations
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n_permutations - mean * mean))
+    above = F.col("above") + F.when(F.col("seen") == 0, n_permutations - F.col("some")).otherwise(0)
+    out = sums.select("cluster_a", "cluster_b", "seen", ((above + 1) / (n_permutations + 1)).alias("p_value"), F.when(sd > 0, (F.col("seen") - mean) / sd).otherwise(0.0).alias("z_score"))
     if statistic == "count":
         return out.select("cluster_a", "cluster_b", F.col("seen").cast("double").alias("observed_ratio"), "p_value", "z_score")
-    if statistic != "ratio":
-        raise ValueError("statistic must be ratio or count")
-    ratio = colocalization(edges, clusters, len(a)).select("cluster_a", "cluster_b", F.col("ratio").alias("observed_ratio"))
+    ratio = colocalization(edges, clusters, labelled.count()).select("cluster_a", "cluster_b", F.col("ratio").alias("observed_ratio"))
     return out.join(ratio, ["cluster_a", "cluster_b"]).select("cluster_a", "cluster_b", "observed_ratio", "p_value", "z_score")
 
 

@@ -49,3 +49,9 @@ def spatial_expression(places: DataFrame, expr: DataFrame, gene: str, mode: str
         raise ValueError(f"no such gene: {gene}")
     drawn = (spatial_scatter if mode == "scatter" else spatial_polygons)(places, counts, gene, **options)
     return drawn.withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def envelope(env: DataFrame) -> DataFrame:
+    """What an envelope plot draws, of a table of dclf_envelope: cluster (as text), r, observed, lo, hi, theo, label ("cluster observed (p=...)")."""
+    cluster = F.col("cluster").cast("string")
+    return env.select(cluster.alias("cluster"), "r", "observed", "lo", "hi", "theo", F.format_string("%s observed (p=%.3f)", cluster, F.col("p_value")).alias("label"))

@@ -85,7 +85,7 @@ query("um_to_px", f"{_C} select cell_id, round_even(y / 0.425, 0)::bigint as px,
 _M = f"{_X}, n as (select count(distinct cell) as n from expr)"
 query("expr_normalize_total", f"{_X} select cell, gene, {r('value / sum(value) over (partition by cell) * 1e4', 'value')} from expr")(lambda s, d: ex.normalize_total(ad.expression(s, d)))
 query("expr_log1p", f"{_X} select cell, gene, {r('ln(1 + value)', 'value')} from expr")(lambda s, d: ex.log1p(ad.expression(s, d)))
-query("expr_select_genes", f"{_X} select cell, gene, value from expr where gene in (select distinct p_name from part order by 1 limit 5)")(
+query("expr_select_genes", f"{_X}, five as (select p_name as gene, row_number() over (order by p_name) - 1 as pos from (select distinct p_name from part) order by p_name limit 5) select cell, gene, value, pos from expr join five using (gene)")(
     lambda s, d: ex.select_genes(ad.expression(s, d), [x.p_name for x in ad.read(s, d, "part").select("p_name").distinct().orderBy("p_name").limit(5).collect()])
 )
 query("expr_select_cells", f"{_X} select cell, gene, value, pos from expr join (select c_custkey as cell, row_number() over (order by c_custkey desc) - 1 as pos from customer where c_custkey in (select o_custkey from orders join lineitem on o_orderkey = l_orderkey) order by c_custkey desc limit 7) using (cell)")(

@@ -18,6 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histomesh.operators.cells import scale_coordinates
+from histomesh.operators.shapes import scale_polygons
+from histomesh.sources.vendors import exists as vendors_exists
+
 #: Pixels (over all pages) that read_region brings to the driver at most.
 REGION_PIXELS = 1 << 28
 TILES = "file string, level int, page int, x int, y int, width int, height int, level_width int, level_height int, dtype string, pixel_size double, axes string, data binary"
@@ -251,3 +255,63 @@ def read_region(tiles: DataFrame, x: int, y: int, width: int, height: int, level
         y0, y1, x0, x1 = max(y, t.y), min(y + height, t.y + t.height), max(x, t.x), min(x + width, t.x + t.width)
         out[0 if channel is not None else t.page, y0 - y : y1 - y, x0 - x : x1 - x] = block[y0 - t.y : y1 - t.y, x0 - t.x : x1 - t.x]
     return out[0] if channel is not None or n == 1 else out
+
+
+class Image:
+    """One image of a collection: its tiles, as a table, and regions of them. The tiles are decoded once and kept beside the file."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @property
+    def tiles(self) -> DataFrame:
+        kept = f"{self.path}.tiles"
+        if not vendors_exists(self.spark, f"{kept}/_SUCCESS"):
+            image_tiles(self.spark, self.path).write.mode("overwrite").parquet(kept)
+        return self.spark.read.parquet(kept)
+
+    def levels(self) -> DataFrame:
+        return levels(self.tiles)
+
+    def region(self, x: int, y: int, width: int, height: int, level: int = 0, channel: int | None = None) -> np.ndarray:
+        return read_region(self.tiles, x, y, width, height, level, channel)
+
+
+class ImageCollection:
+    """The named images of a dataset. meta: default, pixel_size, version, images (name: file). Without images there, a morphology.ome.tif at the root is
+    the only one. A file is looked for in the images folder, then by its own path under the root."""
+
+    def __init__(self, spark: SparkSession, root: str, meta: dict | None = None):
+        self.spark, self.root = spark, root.rstrip("/")
+        meta = meta or {}
+        self.files: dict[str, str] = dict(meta.get("images") or {})
+        self.pixel_size, self.default_image, self.version = float(meta.get("pixel_size", 1.0)), meta.get("default"), meta.get("version", "")
+        if not self.files and vendors_exists(spark, f"{self.root}/morphology.ome.tif"):
+            self.files, self.default_image, self.pixel_size = {"morphology": "morphology.ome.tif"}, "morphology", 1.0
+
+    def pixel_size_at(self, level: int = 0) -> float:
+        """Pixel width at a pyramid level."""
+        if level < 0:
+            raise ValueError("level must be at least 0")
+        return self.pixel_size * 2**level
+
+    def keys(self) -> list[str]:
+        return sorted(self.files)
+
+    def has(self, name: str) -> bool:
+        return name in self.files
+
+    def __getitem__(self, name: str) -> Image:
+        if name not in self.files:
+            raise KeyError(f"no image {name}; there are {self.keys()}")
+        file = self.files[name]
+        inside = f"{self.root}/images/{file.rsplit('/', 1)[-1]}"
+        return Image(self.spark, inside if vendors_exists(self.spark, inside) else f"{self.root}/{file}")
+
+    def scale_coordinates(self, cells: DataFrame, level: int = 0) -> DataFrame:
+        """cells with x, y in pixels of a level."""
+        return scale_coordinates(cells, self.pixel_size, level)
+
+    def scale_polygons(self, shapes: DataFrame, level: int = 0) -> DataFrame:
+        """Outlines in pixels of a level."""
+        return scale_polygons(shapes, self.pixel_size, level)

@@ -5,17 +5,17 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histomesh.sources.wkb import decode
 
 # Columns of the vendors' files and the names used here.
-XENIUM = {
-    "x_centroid": "x", "y_centroid": "y", "transcript_counts": "n_transcripts", "control_probe_counts": "n_control_probes",
-    "control_codeword_counts": "n_control_codewords", "total_counts": "total_counts", "cell_area": "cell_area", "nucleus_area": "nucleus_area",
+XENIUM = {"x_centroid": "x", "y_centroid": "y", "cell_area": "area", "fov_name": "fov_id"}
+MERSCOPE = {
+    "EntityID": "cell_id", "center_x": "x", "center_y": "y", "center_z": "z_centroid", "fov": "fov_id",
+    "min_x": "x_min", "max_x": "x_max", "min_y": "y_min", "max_y": "y_max",
 }
-MERSCOPE = {"EntityID": "cell_id", "center_x": "x", "center_y": "y", "fov": "fov_id", "volume": "cell_volume"}
 PIXEL_SIZE = 0.2125
 
 
@@ -70,6 +70,43 @@ def matrix_market(spark: SparkSession, folder: str) -> DataFrame:
     return named.where("value <> 0").select("cell", "gene", "value")
 
 
+def _lines(spark: SparkSession, path: str, column: int, name: str) -> DataFrame:
+    """name, name_idx: a column of a tab-separated file, by line from 0."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\r?\n")).alias("i", "line"))
+    return lines.select(F.get(F.split("line", "\t"), column).alias(name), F.col("i").cast("long").alias(f"{name}_idx"))
+
+
+def xenium_dims(spark: SparkSession, src: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(gene, gene_idx) and (cell, cell_idx) of the matrix, those without a count included. The first of genes of one name stands for them."""
+    folder = f"{src}/cell_feature_matrix"
+    if exists(spark, f"{folder}.h5"):
+        genes, cells = _h5_names(f"{folder}.h5")
+        of = lambda names, c: spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), f"{c} string, {c}_idx long")
+        return of(list(dict.fromkeys(genes)), "gene"), of(cells, "cell")
+    if not exists(spark, f"{folder}/features.tsv.gz"):
+        return None, None
+    genes = _lines(spark, f"{folder}/features.tsv.gz", 1, "gene").groupBy("gene").agg(F.min("gene_idx").alias("at"))
+    genes = genes.select("gene", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("gene_idx"))  # a row a gene
+    return genes, _lines(spark, f"{folder}/barcodes.tsv.gz", 0, "cell")
+
+
+def merscope_dims(spark: SparkSession, src: str) -> tuple[DataFrame, DataFrame]:
+    """(gene, gene_idx) and (cell, cell_idx) of the dense table: its header and its first column, in order of the rows in the file."""
+    df = spark.read.csv(f"{src}/cell_by_gene.csv", header=True, inferSchema=True)
+    cell, *genes = df.columns
+    rows = df.select(F.col(cell).cast("string").alias("cell"), F.monotonically_increasing_id().alias("k"))
+    place = (F.row_number().over(Window.orderBy("k")) - 1).cast("long")  # ids alone
+    return spark.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene string, gene_idx long"), rows.select("cell", place.alias("cell_idx"))
+
+
+def _h5_names(path: str) -> tuple[list[str], list[str]]:
+    import h5py
+
+    with h5py.File(path) as f:
+        g = f["matrix"] if "matrix" in f else f[next(iter(f))]
+        return (g["features/name"] if "features" in g else g["gene_names"])[:].astype(str).tolist(), g["barcodes"][:].astype(str).tolist()
+
+
 def tenx_h5(spark: SparkSession, path: str) -> DataFrame:
     """cell, gene, value of a 10x HDF5 matrix (needs h5py); read on the driver, as the format has no splits."""
     try:
@@ -95,7 +132,7 @@ def xenium_expression(spark: SparkSession, src: str) -> DataFrame:
 
 
 def rings(df: DataFrame, ids=("cell_id", "EntityID", "ID")) -> DataFrame | None:
-    """cell_id, ring from a WKB column or from vertex rows in file order (shapes of fewer than three vertices go); None if it has neither."""
+    """cell_id, ring (and rest, see wkb) from a WKB column or from vertex rows in file order (shapes of fewer than three vertices go); None if it has neither."""
     key = next((c for c in ids if c in df.columns), None)
     geometry = next((c for c in ("geometry", "Geometry", "wkb") if c in df.columns), None)
     x = next((c for c in ("vertex_x", "x", "boundaryX") if c in df.columns), None)
@@ -103,7 +140,7 @@ def rings(df: DataFrame, ids=("cell_id", "EntityID", "ID")) -> DataFrame | None:
     if key is None or geometry is None and (x is None or y is None):
         return None
     if geometry:
-        return df.select(F.col(key).cast("string").alias("cell_id"), decode(geometry).alias("ring")).where("ring is not null")
+        return df.select(F.col(key).cast("string").alias("cell_id"), decode(geometry).alias("g")).select("cell_id", "g.*").where("ring is not null")
     rows = df.select(F.col(key).cast("string").alias("cell_id"), F.struct(F.monotonically_increasing_id().alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("p"))
     ring = rows.groupBy("cell_id").agg(F.array_sort(F.collect_list("p")).alias("ps")).where("size(ps) >= 3")  # a shape's own vertices
     ring = ring.select("cell_id", F.transform("ps", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
@@ -155,14 +192,18 @@ def merscope_image(spark: SparkSession, src: str) -> dict:
     return {"default": best.removesuffix(".tif") if best else None, "pixel_size": 1.0, "images": {n.removesuffix(".tif"): f"images/{n}" for n in tifs}}
 
 
-def link_or_copy(src: str, dst: str, copy: bool = False) -> None:
-    """For local files: a symbolic link, or a copy where that fails or is asked for."""
-    import shutil
-
-    if not copy:
+def link_or_copy(spark: SparkSession, src: str, dst: str, copy: bool = False) -> None:
+    """A symbolic link for local files, or a copy where that fails, is asked for, or either lies in another store."""
+    fs, to = _fs(spark, dst)
+    own, at = _fs(spark, src)
+    if not own.exists(at):
+        raise FileNotFoundError(src)
+    fs.mkdirs(to.getParent())
+    if not copy and {own.getScheme(), fs.getScheme()} == {"file"}:
         try:
-            os.symlink(os.path.abspath(src), dst)
+            os.symlink(os.path.abspath(at.toUri().getPath()), to.toUri().getPath())
             return
         except OSError:
             pass
-    shutil.copy2(src, dst)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(own, at, fs, to, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"could not copy {src}")

@@ -164,7 +164,7 @@ def test_vendors(spark, tmp_path):
     (src / "morphology.ome.tif").write_bytes(b"x")
     data = from_xenium(spark, str(src), DatasetConfig(str(tmp_path / "out")))
     assert {tuple(r) for r in data.expression.collect()} == {("AA", "g1", 5.0), ("AA", "g2", 7.0), ("BB", "g2", 70000.0)}
-    assert data.n_cells() == 2 and "n_transcripts" in data.obs_columns() and data.has_boundaries and data.images["default"] == "morphology" and data.images["pixel_size"] == 0.5
+    assert data.n_cells() == 2 and "transcript_counts" in data.obs_columns() and data.has_boundaries and data.images["default"] == "morphology" and data.images["pixel_size"] == 0.5
     data.save_cells(data.cells.withColumn("z", F.lit(1)))
     assert "z" in data.obs_columns() and data.results.keys() == []
     with pytest.raises(FileExistsError):
