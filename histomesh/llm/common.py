@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own serves a local master; on a cluster it
+    would be lost with its machine, so it is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="histomesh-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -50,7 +53,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bound_arrow(spark: SparkSession, nbytes: int = 8 << 20) -> None:
-    """Bound Arrow batches by bytes, so that long texts don't fill a Python worker. A value set by the user stays."""
+    """Bound Arrow batches by bytes, so that long texts don't fill a Python worker. A setting of the session, as results are evaluated later; it replaces
+    Spark's own defaults only, a value set by the user stays."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):
         if spark.conf.get(key, None) in (None, "2147483647", "9223372036854775807", "268435456", "10000"):
             spark.conf.set(key, value)

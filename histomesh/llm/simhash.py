@@ -126,24 +126,35 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found), np.concatenate(home)
 
 
+def homes(prints: np.ndarray) -> np.ndarray:
+    """The home anchor of each fingerprint."""
+    low, high, leader, *_ = _golay()
+    x = prints.astype(np.uint64)
+    a, b = (x & 0x7FFFFF).astype(np.int64), (x >> np.uint64(BLOCK) & 0x7FFFFF).astype(np.int64)
+    return (a ^ leader[low[a & 4095] ^ high[a >> 12]]) << BLOCK | (b ^ leader[low[b & 4095] ^ high[b >> 12]])
+
+
+def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(homes(batch.column(0).to_numpy().view(np.uint64))), batch.column(0)], ["anchor", "b"])
+
+
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(0).to_numpy()
-        row, anchor, home = anchors(prints.view(np.uint64))
+        row, anchor, _ = anchors(prints.view(np.uint64))
         for at in range(0, len(row), 1 << 16):
             s = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(prints[row[s]]), pa.array(home[s])], ["anchor", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(prints[row[s]])], ["anchor", "a"])
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """distinct: one column fp. Returns every pair a > b of fingerprints at 1 to threshold (at most 2) differing bits, once."""
+    """distinct: one column, fp. Returns every pair a > b of fingerprints at 1 to threshold (at most 2) differing bits, once."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the covering is laid out for thresholds of at most 2 bits")
-    at = distinct.mapInArrow(_anchored, "anchor long, fp long, home boolean")
-    homes = at.where("home").select("anchor", F.col("fp").alias("b"))
-    lists = at.select("anchor", F.col("fp").alias("a"))
-    meet = (lists["anchor"] == homes["anchor"]) & (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return lists.join(homes.hint("shuffle_hash"), meet).select("a", "b")
+    home, lists = distinct.mapInArrow(_at_home, "anchor long, b long"), distinct.mapInArrow(_anchored, "anchor long, a long")
+    meet = (lists["anchor"] == home["anchor"]) & (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
+    return lists.join(home.hint("shuffle_hash"), meet).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A batch for the library holds about BATCH bytes, whatever the number of texts. Texts longer than LONG bytes are cut at
+A batch for the library holds about BATCH bytes, whatever the number of texts. Texts longer than LONG characters are cut at
 safe boundaries: before a single space between two ASCII letters, the space itself dropped. This is exact for a
 sentence-piece model without normalisation that marks the start of a text like a space and has no piece with a
 space mark after another character: no merge can cross such a place. Other models are encoded uncut.
@@ -85,7 +85,7 @@ def lengths(counter, texts: list[str], long: int = LONG, batch: int = BATCH) ->
         for part in cuts(text, long) if counter.cuttable else [text]:
             parts.append(part)
             of.append(k)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= batch:
                 flush()
                 size = 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm.common import bound_arrow, fresh_path, table
+from histomesh.llm.common import bound_arrow, fresh_path, table, written
 
 # Fixed values of the format.
 DICTIONARY, SKIP = 0x184D2A5D, "P*M\x18\x00\x00\x00\x00"
@@ -29,6 +29,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a dictionary, of the records that it is built from, and of an archive's records before compression, at most (a longer record has its own archive).
 DICT_BYTES, TRAIN_BYTES, ARCHIVE_BYTES = 32 << 10, 2 << 20, 32 << 20
 LEVEL = 3
+#: Digests of repeated payloads (about 100 bytes each) that are sent to every executor at most; more are joined by a shuffle.
+SENT_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -133,7 +135,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     name = F.concat(F.sha1("payload"), F.lit("-"), F.length("payload"))
     # ids of payloads that occur more than once: few, and small without the payloads
     ids = rows.select("id", name.alias("name")).where(F.substring_index("name", "-", -1).cast("long") >= least)
-    again = ids.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1").select("name", "least")
+    again = written(ids.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1").select("name", "least"), "warc-repeated")
+    if again.count() <= SENT_ROWS:
+        again = F.broadcast(again)  # of checked size; payloads then stay where they are, however often one repeats
     named = rows.withColumn("name", name).join(again, "name", "left")
     first = F.col("least").isNull() | F.coalesce(F.col("id") == F.col("least"), F.lit(False))
     kind = named.select("id", "url", "payload", first.alias("first"), "least")

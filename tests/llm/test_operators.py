@@ -345,11 +345,10 @@ def test_passages_against_all_pairs(spark):
     shared = [prose(1200 + k, r.randint(40, 70)).split() for k in range(8)]
     texts = []
     for k in range(60):
-        w = prose(1300 + k, r.randint(5, 60)).split()
-        for p in r.sample(shared, k % 3):
-            at = r.randrange(len(w) + 1)
-            w[at:at] = p
-        texts.append(" ".join(w))
+        parts = [prose(1300 + 100 * j + k, r.randint(5, 30)) for j in range(3)]
+        for j, p in enumerate(r.sample(shared, k % 3)):
+            parts.insert(2 * j + r.randrange(2), " ".join(p))
+        texts.append(" ".join(parts))
     words = [t.split() for t in texts]
 
     def runs(x, y, least):

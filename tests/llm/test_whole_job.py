@@ -54,31 +54,19 @@ def test_passages_are_whole(spark):
 
 
 def test_row_numbers_are_written(spark, tmp_path):
-    """Scans planned anew deal the files' rows to other partitions: removals must still hit the rows that they were found in."""
-    passage = prose(5000, 60)
-    texts = [prose(5010 + k, 60) for k in range(40)]
-    texts[30:] = [f"{prose(5100 + k, 30)} {passage}" for k in range(10)]
-    docs_of(spark, texts).repartition(8).write.parquet(f"{tmp_path}/d")
-    seen = []
-
-    class Moved:
-        """Numbers rows differently at each call, as a new plan may."""
-
-        def __call__(self, df, name):
-            from pyspark.sql import functions as F
-
-            seen.append(name)
-            return df.repartition(3 + len(seen)).withColumn(name, F.monotonically_increasing_id())
-
-    import pytest
+    """Rows are numbered in order of id and text, in a written table, however the files' rows are dealt out."""
+    from pyspark.sql import functions as F
 
     from histomesh.llm import common
 
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(common, "with_row_id", Moved())
-        out = paragraphs.remove_repeats(spark.read.parquet(f"{tmp_path}/d")).collect()
-    assert seen and "parquet" in str(common.numbered(docs_of(spark, texts), "n")._jdf.queryExecution().executedPlan()).lower()
-    assert len(out) == 40 and sum(passage in r.text for r in out) == 1
+    docs = docs_of(spark, [prose(5010 + k % 30, 20) for k in range(60)]).withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 20))
+    seen = []
+    for n in (1, 8):
+        rows = common.ordered(docs.repartition(n), "uid", "doc_id", "text")
+        assert "parquet" in str(rows._jdf.queryExecution().executedPlan()).lower() and rows.columns == [*docs.columns, "uid"]
+        assert rows.select("uid").distinct().count() == 60
+        seen.append([(r.doc_id, r.text) for r in rows.orderBy("uid").collect()])
+    assert seen[0] == seen[1] and [i for i, _ in seen[0]] == sorted((i for i, _ in seen[0]), key=lambda i: (i is None, i or 0))
 
 
 def test_html_attributes():
