@@ -17,8 +17,8 @@ from histomesh.sources.catalog import checkpointed
 
 #: Rows of an embedding that the driver-side kernels (Ward, diffusion map, modularity) take.
 DRIVER_ROWS = 20_000
-#: Rows of a block in blocked neighbour search.
-BLOCK = 2048
+#: Rows of a block in neighbour search, about; pivots at most; rows whose distances are held at once.
+BLOCK, MAX_PIVOTS, CHUNK = 2048, 16_384, 256
 
 
 def matrix(emb: DataFrame) -> tuple[list, np.ndarray]:
@@ -29,37 +29,112 @@ def matrix(emb: DataFrame) -> tuple[list, np.ndarray]:
     return [r.cell_id for r in rows], np.array([r.v for r in rows], float)
 
 
+def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int, skip: np.ndarray | None, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, d) of the k nearest rows of y within bound, nearest first, ties in order of y. skip: for each row of x the row of y left out, or -1.
+    A matrix product picks candidates with room for rounding; their distances are then taken exactly."""
+    out = [], [], []
+    yy = (y * y).sum(axis=1)
+    for at in range(0, len(x), CHUNK):
+        q = x[at : at + CHUNK]
+        xx = (q * q).sum(axis=1)[:, None]
+        d2 = np.maximum(xx + yy - 2 * q @ y.T, 0)
+        if skip is not None:
+            row = np.flatnonzero(skip[at : at + CHUNK] >= 0)
+            d2[row, skip[at : at + CHUNK][row]] = np.inf
+        room = 1e-9 * (xx + yy.max(initial=0.0)) + 1e-300
+        top = np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if d2.shape[1] > k else np.full((len(q), 1), np.inf)
+        row, col = np.nonzero((d2 <= np.minimum(top, bound[at : at + CHUNK, None] ** 2) + room) & np.isfinite(d2))
+        d = np.sqrt(((q[row] - y[col]) ** 2).sum(axis=1))
+        order = np.lexsort((col, d, row))
+        row, col, d = row[order], col[order], d[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+        for have, more in zip(out, (row[keep] + at, col[keep], d[keep]), strict=True):
+            have.append(more)
+    return tuple(np.concatenate([np.zeros(0, float if i == 2 else np.int64), *v]) for i, v in enumerate(out))
+
+
 def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
     """cell_id, other, d: the k nearest rows of targets (of emb itself, but the row) by Euclidean distance, exactly; ties by id.
 
-    Block against block: each pair of blocks is one group of at most 2 BLOCK rows, of which k a row leave."""
+    Targets lie in cells around pivots (some of them, picked by hash), in blocks of about BLOCK rows. A row first looks at one block of the cell of its
+    nearest pivot, which bounds its k-th distance, and then at the blocks of every cell that the bound can reach: by the triangle inequality
+    those whose pivot is no further than the bound and the cell's radius. Where nothing can be ruled out, each pair of blocks is one group, as large as any other."""
     own = targets is None
-    targets = emb if own else targets
-    n, m = emb.count(), targets.count()
-    p, q = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    left = emb.select("cell_id", "v", F.lit(0).alias("side"), F.pmod(F.xxhash64("cell_id"), F.lit(p)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    right = targets.select("cell_id", "v", F.lit(1).alias("side"), F.pmod(F.xxhash64("cell_id"), F.lit(q)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
     kind = emb.schema["cell_id"].dataType.simpleString()
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("cell_id")
+    rows = lambda df: df.where("cell_id is not null and v is not null").select("cell_id", F.col("v").cast("array<double>").alias("v"))
+    held = checkpointed(rows(emb if own else targets))
+    m = held.count()
+    if not m:
+        return emb.select("cell_id", F.col("cell_id").alias("other"), F.lit(0.0).alias("d")).limit(0)
+    size = max(BLOCK, 2 * k)
+    n_pivots = min(MAX_PIVOTS, max(1, -(-m // size)))
+    pivots = np.array([r.v for r in held.orderBy(F.xxhash64(F.lit(7), "cell_id")).limit(n_pivots).collect()], float)  # at most MAX_PIVOTS rows
+
+    def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c, _, far = (x for x in _to_pivots(np.array(b["v"].tolist(), float), pivots))
+                yield b.assign(c=c, far=far)
+
+    held = checkpointed(held.mapInPandas(assigned, f"cell_id {kind}, v array<double>, c int, far double"))
+    cells = {r.c: (r.n, r.far) for r in held.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row a pivot
+    blocks, radius = np.ones(n_pivots, np.int64), np.full(n_pivots, -np.inf)
+    for c, (n, far) in cells.items():
+        blocks[c], radius[c] = -(-n // size), far
+    first = np.cumsum(blocks) - blocks
+    spot = emb.sparkSession.createDataFrame([(i, int(f), int(b)) for i, (f, b) in enumerate(zip(first, blocks, strict=True))], "c int, first long, blocks long")
+    held = held.join(F.broadcast(spot), "c").select("cell_id", "v", "c", (F.col("first") + F.pmod(F.xxhash64("cell_id"), "blocks")).alias("t"))  # a row a pivot
+    held = checkpointed(held)
+    if own:
+        asked = held
+    else:
+        asked = rows(emb).mapInPandas(assigned, f"cell_id {kind}, v array<double>, c int, far double").join(F.broadcast(spot), "c")
+        asked = checkpointed(asked.select("cell_id", "v", "c", (F.col("first") + F.pmod(F.xxhash64("cell_id"), "blocks")).alias("t")))
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("cell_id", kind="stable")
         if not len(a) or not len(b):
-            return pd.DataFrame({"cell_id": a["cell_id"][:0], "other": a["cell_id"][:0], "d": np.zeros(0)})
-        x, y = np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float)
-        out = []
-        for at in range(0, len(x), 256):
-            d = np.sqrt(((x[at : at + 256, None] - y[None]) ** 2).sum(axis=2))
-            if own:
-                d[a["cell_id"].to_numpy()[at : at + 256, None] == b["cell_id"].to_numpy()[None]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
-            r = np.repeat(np.arange(len(d)), best.shape[1])
-            out.append(pd.DataFrame({"cell_id": a["cell_id"].to_numpy()[at + r], "other": b["cell_id"].to_numpy()[best.ravel()], "d": d[r, best.ravel()]}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["d"])]
-
-    cols = ["cell_id", "v", "side", "i", "j"]
-    found = left.select(*cols).union(right.select(*cols)).groupBy("i", "j").applyInPandas(block, f"cell_id {kind}, other {kind}, d double")
-    return ranked(found, ["cell_id"], ["d", "other"], k).select("cell_id", "other", "d")
+            return pd.DataFrame({"cell_id": a["cell_id"][:0], "other": b["cell_id"][:0], "d": np.zeros(0)})
+        skip = None
+        if own:
+            at = pd.Series(np.arange(len(b)), index=b["cell_id"].to_numpy())
+            skip = at.reindex(a["cell_id"].to_numpy()).fillna(-1).to_numpy().astype(np.int64)
+        bound = a["r"].to_numpy(float) if "r" in a else np.full(len(a), np.inf)
+        row, col, d = _nearest_rows(np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float), k, skip, bound)
+        return pd.DataFrame({"cell_id": a["cell_id"].to_numpy()[row], "other": b["cell_id"].to_numpy()[col], "d": d})
+
+    def dealt(q: DataFrame, to: str) -> DataFrame:
+        """Pairs of a block of rows and a block of targets: rows that ask one block are split into runs of about as many as a block has."""
+        runs = q.groupBy(to).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("runs"))
+        left = q.join(runs, to).withColumn("run", F.pmod(F.xxhash64(F.lit(3), "cell_id"), "runs"))
+        fresh = lambda df, *names: df.select(*[F.col(c).alias(n) for c, n in names])  # noqa: E731 (columns of their own, though the table be the same)
+        right = fresh(held, ("cell_id", "cell_id"), ("v", "v"), ("t", to)).join(fresh(runs, (to, to), ("runs", "runs")), to).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs").cast("long") - 1)))
+        return left.groupBy(to, "run").cogroup(right.groupBy(to, "run")).applyInPandas(search, f"cell_id {kind}, other {kind}, d double")
+
+    near = checkpointed(dealt(asked, "t"))
+    bound = asked.join(near.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")), "cell_id", "left")
+    bound = bound.select("cell_id", "v", "t", F.when(F.col("n") >= k, F.col("far")).otherwise(float("inf")).alias("r"))
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), CHUNK):
+                part = b.iloc[at : at + CHUNK]
+                _, far, _ = _to_pivots(np.array(part["v"].tolist(), float), pivots)
+                row, c = np.nonzero(far <= part["r"].to_numpy(float)[:, None] * (1 + 1e-9) + radius * (1 + 1e-9) + 1e-9 * far)
+                n = blocks[c]
+                to = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                part = part.iloc[np.repeat(row, n)].assign(to=to)
+                yield part[part["to"] != part["t"]][["cell_id", "v", "r", "to"]]
+
+    more = dealt(checkpointed(bound.mapInPandas(reached, f"cell_id {kind}, v array<double>, r double, to long")), "to")
+    return ranked(near.union(more), ["cell_id"], ["d", "other"], k).select("cell_id", "other", "d")
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest pivot, distances to all, distance to the nearest) of each row."""
+    far = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T, 0))
+    c = far.argmin(axis=1)
+    return c.astype(np.int32), far, np.sqrt(((x - pivots[c]) ** 2).sum(axis=1))
 
 
 def knn_edges(emb: DataFrame, k: int = 15) -> DataFrame:

@@ -51,3 +51,11 @@ def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, s = (F.col("p_partkey") % 50) * 10.0, F.floor(F.col("p_partkey") / 50) * 10.0, 6 + F.col("p_size") / 5
     return with_bbox(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("cell_id"), box_ring(x, y, x + s, y + s).alias("ring"), F.col("p_type").alias("cluster")))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes made twice as high as wide, with a hole of side 1 at a distance of 1 from the lower left corner."""
+    b = boxes(spark, sf_dir).select("cell_id", F.col("x_min").alias("x"), F.col("y_min").alias("y"), (F.col("x_max") - F.col("x_min")).alias("w"))
+    ring = box_ring(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + 2 * F.col("w"))
+    hole = F.reverse(box_ring(F.col("x") + 1, F.col("y") + 1, F.col("x") + 2, F.col("y") + 2))
+    return with_bbox(b.select("cell_id", ring.alias("ring"), F.array(hole).alias("rest")))

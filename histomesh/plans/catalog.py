@@ -24,6 +24,8 @@ from histomesh.sources.catalog import ResultCatalog, checkpointed
 RADIUS, K, REACH, STEPS = 4.0, 10, 12.0, 12
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Digits to which each query's doubles are rounded.
+DIGITS: dict[str, int] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -34,6 +36,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def query(name: str, sql: str | None = None, digits: int = 6):
     def wrap(f):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        DIGITS[name] = digits
         if sql:
             ORACLE_SQL[name] = sql
         return f
@@ -270,8 +273,8 @@ select cluster, {r('sum(c * c) / (sum(c) / 100) - sum(c)', 'chi2', 4)}, {r('sum(
 )(lambda s, d: pt.quadrat_density(ad.cells(s, d)).drop("p_value"))
 query("quadrat_p_values")(lambda s, d: pt.quadrat_density(ad.cells(s, d)))
 query("ripley_f")(lambda s, d: pt.ripley_f(ad.cells(s, d), 20, 8.0))
-query("permutation_test_ratio")(lambda s, d: pt.permutation_test(checkpointed(_graph(s, d)), ad.clusters(s, d), 200))
-query("permutation_test_count")(lambda s, d: pt.permutation_test(checkpointed(_graph(s, d)), ad.clusters(s, d), 200, "count"))
+query("permutation_test_ratio")(lambda s, d: pt.permutation_test(checkpointed(_graph(s, d)), ad.clusters(s, d)))
+query("permutation_test_count")(lambda s, d: pt.permutation_test(checkpointed(_graph(s, d)), ad.clusters(s, d), statistic="count"))
 query("dclf_envelope")(lambda s, d: pt.dclf_envelope(ad.cells(s, d), "G", n_radii=20, max_radius=4.0))
 
 # --- shapes ---
@@ -294,6 +297,17 @@ query(
  1.0::double as aspect_ratio, 1.0::double as solidity, 0.0::double as convexity_defects, 4::bigint as vertex_count, 1.0::double as rectangularity from s""",
 )(lambda s, d: sh.cell_morphology(ad.boxes(s, d)).drop("eccentricity", "fractal_dimension"))
 query("cell_morphology")(lambda s, d: sh.cell_morphology(ad.boxes(s, d)))
+# rectangles twice as high as wide, with a hole of area 1
+_H = f"{_B}, h as (select cell_id, x_min as x, y_min as y, x_max - x_min as w, 2 * pow(x_max - x_min, 2) as whole from boxes)"
+query(
+    "frame_morphology",
+    f"""{_H} select cell_id, {r('whole - 1', 'area')}, {r('6 * w + 4', 'perimeter')}, {r('(whole * (x + w / 2) - x - 1.5) / (whole - 1)', 'centroid_x')}, {r('(whole * (y + w) - y - 1.5) / (whole - 1)', 'centroid_y')},
+ {r('4 * pi() * (whole - 1) / pow(6 * w + 4, 2)', 'circularity')}, 0.5::double as elongation, 2.0::double as aspect_ratio, {r('(whole - 1) / whole', 'solidity')}, 0.0::double as eccentricity, 1.0::double as fractal_dimension,
+ 4::bigint as vertex_count, 1.0::double as convexity_defects, {r('(whole - 1) / whole', 'rectangularity')} from h""",
+)(lambda s, d: sh.cell_morphology(ad.frames(s, d)))
+query("frame_query_radius", f"{_H} select cell_id from h where pow(greatest(x - 201.5, 201.5 - x - w, 0), 2) + pow(greatest(y - 101.5, 101.5 - y - 2 * w, 0), 2) <= 0.16 and not (x + 1 + 0.4 < 201.5 and x + 2 - 0.4 > 201.5 and y + 1 + 0.4 < 101.5 and y + 2 - 0.4 > 101.5)")(
+    lambda s, d: sh.query_radius(ad.frames(s, d), 201.5, 101.5, 0.4).select("cell_id")
+)
 
 # --- what plots draw: at most 100000 cells, which is every cell of the tables that the SQL is compared on ---
 query("plot_spatial_scatter", f"{_C} select cell_id, {r('x', 'x')}, {r('y', 'y')}, cluster as value, true as categorical from cells where x between 10 and 500 and y between 20 and 300")(
@@ -318,7 +332,7 @@ query("emb_label_transfer", f"{_V} select a.cell_id, arg_min(b.label, list_dista
     lambda s, d: em.transfer_labels(ad.embedding(s, d).where("label % 2 = 1"), ad.embedding(s, d).where("label % 2 = 0"))
 )
 query("emb_pca")(lambda s, d: em.pca(ad.embedding(s, d), 10)[0])
-query("emb_kmeans")(lambda s, d: em.kmeans(ad.embedding(s, d), 10, n_init=2))
+query("emb_kmeans")(lambda s, d: em.kmeans(ad.embedding(s, d), 10))
 query("emb_ward")(lambda s, d: em.hierarchical(ad.embedding(s, d), 10))
 query("emb_leiden")(lambda s, d: em.modularity_clusters(ad.embedding(s, d)))
 query("emb_louvain")(lambda s, d: em.modularity_clusters(ad.embedding(s, d), refine=False))

@@ -279,6 +279,26 @@ def rows_of(df):
     return np.array([r.v for r in df.orderBy("cell_id").collect()])
 
 
+@pytest.mark.parametrize("size", [5, 16, 2048])
+def test_nearest_vectors(spark, cloud, monkeypatch, size):
+    """Blocks of any size give the nearest rows, ties by id, of the table itself and of another one."""
+    monkeypatch.setattr(em, "BLOCK", size)
+    rng = np.random.default_rng(size)
+    x = np.concatenate([cloud[0], cloud[0][:7], rng.integers(0, 2, (30, 7)).astype(float)])
+    emb = spark.createDataFrame([(f"r{k:03}", r.tolist()) for k, r in enumerate(x)], "cell_id string, v array<double>").repartition(3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for k in (1, 4, 200):
+        want = {(f"r{i:03}", f"r{j:03}") for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[: min(k, len(x) - 1)]}
+        got = em.nearest(emb, k).collect()
+        assert {(r.cell_id, r.other) for r in got} == want and all(math.isclose(r.d, d[int(r.cell_id[1:]), int(r.other[1:])], abs_tol=1e-12) for r in got)
+    y = rng.random((25, 7))
+    d = np.sqrt(((y[:, None] - x[None]) ** 2).sum(axis=2))
+    other = spark.createDataFrame([(f"q{k:03}", r.tolist()) for k, r in enumerate(y)], "cell_id string, v array<double>")
+    assert {(r.cell_id, r.other) for r in em.nearest(other, 3, emb).collect()} == {(f"q{i:03}", f"r{j:03}") for i in range(25) for j in np.argsort(d[i], kind="stable")[:3]}
+    assert em.nearest(emb, 3, emb.limit(0)).count() == 0
+
+
 def test_pca_and_diffmap(cloud):
     x, emb = cloud
     scores, load = em.pca(emb, 3)
