@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, mixture.
 
-Each stage reads what the one before it wrote and returns the columns of documents; the last adds what the mixture takes.
+Each stage reads what the one before it wrote and returns the columns of documents, extra ones too; the last adds size, source_size, target and
+taken, replacing columns of these names. Null, empty and blank texts go in the first stage (they have no words); null ids and sources stay, nulls
+last in every order; repeated rows are near copies of each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.llm import decontaminate, mixing, paragraphs, quality, simhash
-from histomesh.llm.common import table, written
+from histomesh.llm.common import live, sweep, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +47,14 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: Fingerprints, MinHash, the order of removals and the knapsack aren't SQL; tests/llm holds the run against a brute-force version.
+#: MinHash, the order of removals and the knapsack aren't SQL; tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has left in the shared folder is taken away as soon as its result is written there."""
+    docs, before = table(spark, sf_dir, "documents"), live()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, [x for x in live() if x not in before and x != docs.written_path])
     return docs

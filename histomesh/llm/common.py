@@ -36,20 +36,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that written() made and discard() didn't take away yet.
+_LIVE: dict[str, None] = {}
+
+
+def live() -> list[str]:
+    return list(_LIVE)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors. discard() takes it away."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
+    _LIVE[path] = None
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        sweep(df.sparkSession, [df.written_path])
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Removes the written tables at these paths."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _LIVE.pop(name, None)
 
 
 def bound_arrow(spark: SparkSession, nbytes: int = 8 << 20) -> None:
