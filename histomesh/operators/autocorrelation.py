@@ -59,19 +59,27 @@ def _safe(n, d):
 
 def morans_i(edges: DataFrame, values: DataFrame, domain: str = "graph", variance: str = "compat") -> DataFrame:
     """values: cell_id, feature, v. Returns feature, I, expected_I, z_score, p_value (randomisation variance, two-sided normal)."""
+    return moran_of(_parts(edges, values, domain), variance)
+
+
+def moran_of(parts: DataFrame, variance: str = "compat") -> DataFrame:
     n, w, s1, s2, k = (F.col(c) for c in ("n", "w", "s1", "s2", "k"))
     top = n * (s1 * (n * n - 3 * n + 3) - n * s2 + 3 * w * w) - k * (s1 * (n * n - n) - 2 * n * s2 + 6 * w * w)
     e = _safe(F.lit(-1.0), n - 1)
     var = _safe(top, (n - 1) * (n - 2) * (n - 3) * w * w) - e * e
-    return _finish(_parts(edges, values, domain), "I", 0.0, _safe(n * F.col("cross"), w * F.col("m2")), e, var, variance)
+    return _finish(parts, "I", 0.0, _safe(n * F.col("cross"), w * F.col("m2")), e, var, variance)
 
 
 def gearys_c(edges: DataFrame, values: DataFrame, domain: str = "graph", variance: str = "compat") -> DataFrame:
     """feature, C, expected_C (1), z_score, p_value. "textbook" divides the variance by n (n - 2)(n - 3) W^2."""
+    return geary_of(_parts(edges, values, domain), variance)
+
+
+def geary_of(parts: DataFrame, variance: str = "compat") -> DataFrame:
     n, w, s1, s2, k = (F.col(c) for c in ("n", "w", "s1", "s2", "k"))
     top = (n - 1) * s1 * (n * n - 3 * n + 3 - (n - 1) * k) - (n - 1) * s2 * (n * n + 3 * n - 6 - (n * n - n + 2) * k) / 4 + w * w * (n * n - 3 - (n - 1) * (n - 1) * k)
     var = _safe(top, (n if variance == "textbook" else n - 1) * (n - 2) * (n - 3) * w * w)
-    return _finish(_parts(edges, values, domain), "C", 1.0, _safe((n - 1) * F.col("diff"), 2 * w * F.col("m2")), F.lit(1.0), var, variance)
+    return _finish(parts, "C", 1.0, _safe((n - 1) * F.col("diff"), 2 * w * F.col("m2")), F.lit(1.0), var, variance)
 
 
 def getis_ord(edges: DataFrame, values: DataFrame, star: bool = True) -> DataFrame:
@@ -83,7 +91,11 @@ def getis_ord(edges: DataFrame, values: DataFrame, star: bool = True) -> DataFra
     sums = way.join(nodes.select(F.col("cell_id").alias("other"), F.col("v").alias("ov")), "other").groupBy("cell_id").agg(F.count(F.lit(1)).alias("k"), F.sum("ov").alias("s"))
     whole = nodes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     own = 1 if star else 0
-    out = nodes.join(sums, "cell_id").crossJoin(F.broadcast(whole)).withColumns({"w": F.col("k") + own, "t": F.col("s") + own * F.col("v")})  # one row
+    return scored(nodes.join(sums, "cell_id").crossJoin(F.broadcast(whole)).withColumns({"w": F.col("k") + own, "t": F.col("s") + own * F.col("v")}))  # one row
+
+
+def scored(out: DataFrame) -> DataFrame:
+    """cell_id, gi_stat, p_value of cell_id, w and t (number and sum of a node's neighbours) and n, mean, sd of all nodes."""
     bottom = F.col("sd") * F.sqrt((F.col("n") * F.col("w") - F.col("w") * F.col("w")) / (F.col("n") - 1))
     stat = F.when(F.col("sd") == 0, 0.0).otherwise((F.col("t") - F.col("mean") * F.col("w")) / F.when(bottom == 0, 1e-15).otherwise(bottom))
     out = out.withColumn("gi_stat", stat)

@@ -235,12 +235,17 @@ def label_pairs(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 def colocalization(edges: DataFrame, clusters: DataFrame, e: int | None = None) -> DataFrame:
     """observed and expected edges of every pair of clusters, ratio, log2_ratio (NaN for ratio 0). Expected: over all edges, or e."""
     sizes = clusters.groupBy(F.col("cluster").cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return ratios(sizes, label_pairs(edges, clusters), edges.agg(F.count(F.lit(1)).alias("edges_all")) if e is None else sizes.agg(F.lit(e).alias("edges_all")))
+
+
+def ratios(sizes: DataFrame, pairs: DataFrame, edges_all: DataFrame) -> DataFrame:
+    """colocalization() of c, n (cells of each cluster), cluster_a, cluster_b, n (edges of each pair) and edges_all (one row)."""
     a, b = sizes.select(F.col("c").alias("cluster_a"), F.col("n").alias("na")), sizes.select(F.col("c").alias("cluster_b"), F.col("n").alias("nb"))
-    whole = sizes.agg(F.sum("n").alias("cells_all")).crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges_all")) if e is None else sizes.agg(F.lit(e).alias("edges_all"))))
+    whole = sizes.agg(F.sum("n").alias("cells_all")).crossJoin(F.broadcast(edges_all))
     grid = a.join(b, F.col("cluster_a") <= F.col("cluster_b")).crossJoin(F.broadcast(whole))  # clusters squared
-    grid = grid.join(label_pairs(edges, clusters), ["cluster_a", "cluster_b"], "left").withColumn("observed", F.coalesce("n", F.lit(0)).cast("long"))
+    grid = grid.join(pairs, ["cluster_a", "cluster_b"], "left").withColumn("observed", F.coalesce("n", F.lit(0)).cast("long"))
     ways = F.when(F.col("cluster_a") == F.col("cluster_b"), F.col("na") * (F.col("na") - 1)).otherwise(2 * F.col("na") * F.col("nb"))
-    grid = grid.withColumn("expected", ways * F.col("edges_all") / F.greatest(F.col("cells_all") * (F.col("cells_all") - 1), F.lit(1)))
+    grid = grid.withColumn("expected", ways.cast("double") * F.col("edges_all") / F.greatest(F.col("cells_all") * (F.col("cells_all") - 1), F.lit(1)))
     ratio = F.when(F.col("expected") > 0, F.col("observed") / F.col("expected")).otherwise(0.0)
     grid = grid.withColumn("ratio", ratio).withColumn("log2_ratio", F.when(F.col("ratio") > 0, F.log2("ratio")).otherwise(F.lit(float("nan"))))
     return grid.select("cluster_a", "cluster_b", "observed", "expected", "ratio", "log2_ratio")
@@ -251,7 +256,11 @@ def border_enrichment(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     own = clusters.select("cell_id", F.col("cluster").alias("own"))
     touch = both_ways(edges).join(clusters.select(F.col("cell_id").alias("other"), F.col("cluster").alias("theirs")), "other").join(own, "cell_id").where("own <> theirs").select("cell_id").distinct().withColumn("border", F.lit(1))
     per = clusters.join(touch, "cell_id", "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cells"), F.count("border").alias("n_border"))
-    whole = clusters.agg(F.count(F.lit(1)).alias("N")).crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("E"))))  # one row
+    return enrichment(per, clusters.agg(F.count(F.lit(1)).alias("N")).crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("E")))))  # one row
+
+
+def enrichment(per: DataFrame, whole: DataFrame) -> DataFrame:
+    """border_enrichment() of cluster, n_cells, n_border and of N, E (cells and edges, one row)."""
     per = per.crossJoin(F.broadcast(whole)).withColumn("border_fraction", F.col("n_border") / F.col("n_cells"))
     degree = 2 * F.col("E") / F.greatest("N", F.lit(1))
     per = per.withColumn("chance", F.when(degree > 0, 1 - F.pow(F.col("n_cells") / F.greatest("N", F.lit(1)), degree)).otherwise(0.0))

@@ -14,6 +14,7 @@ from histomesh.operators import embedding as em
 from histomesh.operators import expression as ex
 from histomesh.operators import graphs as gr
 from histomesh.operators import layout as lo
+from histomesh.operators import near as nr
 from histomesh.operators import patterns as pt
 from histomesh.operators import plots as pl
 from histomesh.operators import shapes as sh
@@ -182,7 +183,7 @@ query(
     f"""{_E}, t as (select distinct b.cell_id from both_ways b join cells x on x.cell_id = b.cell_id join cells y on y.cell_id = b.other where x.cluster <> y.cluster),
 p as (select cluster, count(*) as n_cells, count(t.cell_id) as n_border from cells left join t using (cell_id) group by 1), g as (select 2.0 * count(*) / (select count(*) from cells) as k from edges)
 select cluster, n_cells, n_border, {r('n_border / n_cells', 'border_fraction')}, {r('n_border / n_cells / (1 - pow(n_cells / (select count(*) from cells), k))', 'enrichment')} from p, g""",
-)(lambda s, d: gr.border_enrichment(_graph(s, d), ad.clusters(s, d)))
+)(lambda s, d: nr.border_enrichment(ad.cells(s, d), RADIUS))
 query(
     "clustering_coefficient",
     f"""{_E}, deg as (select cell_id, count(*) as k from both_ways group by 1), t as (select a.cell_id, count(*) as t from both_ways a join both_ways b on a.cell_id = b.cell_id and a.other < b.other
