@@ -232,7 +232,7 @@ for _star in (True, False):
 x as (select cell_id, ((s + {_o} * v) - mean * (k + {_o})) / (sd * sqrt((n * (k + {_o}) - (k + {_o}) * (k + {_o})) / (n - 1))) as z from s join cells using (cell_id), g)
 select cell_id, {r('z', 'gi_stat', 4)}, {r(two_sided_sql('z'), 'p_value', 4)} from x""",
         4,
-    )(lambda s, d, star=_star: ac.getis_ord(_graph(s, d), ad.cells(s, d).select("cell_id", "v"), star))
+    )(lambda s, d, star=_star: nr.getis_ord(ad.cells(s, d), RADIUS, star))
 
 # --- patterns ---
 _all = lambda s, d: pt.together(ad.cells(s, d))
