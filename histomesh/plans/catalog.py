@@ -218,12 +218,10 @@ s as (select sum(4 * k * k) as s2 from deg), b as (select *, w as s1, n * m4 / (
 
 _NUM = "select cell_id, 'v' as feature, v from cells"
 _CAT = "select a.cell_id, k.cluster as feature, (a.cluster = k.cluster)::int::double as v from cells a, (select distinct cluster from cells) k"
-_num = lambda s, d: ad.cells(s, d).select("cell_id", F.lit("v").alias("feature"), "v")
-_cat = lambda s, d: ac.one_hot(ad.clusters(s, d))
-for _kind, _f in (("I", ac.morans_i), ("C", ac.gearys_c)):
+for _kind, _f in (("I", ac.moran_of), ("C", ac.geary_of)):
     _name = {"I": "morans_i", "C": "gearys_c"}[_kind]
-    query(f"{_name}_numeric", _stat_sql(_NUM, _kind), 4)(lambda s, d, f=_f: f(_graph(s, d), _num(s, d)))
-    query(f"{_name}_categorical", _stat_sql(_CAT, _kind), 4)(lambda s, d, f=_f: f(_graph(s, d), _cat(s, d)))
+    query(f"{_name}_numeric", _stat_sql(_NUM, _kind), 4)(lambda s, d, f=_f: f(nr.value_parts(ad.cells(s, d), RADIUS)))
+    query(f"{_name}_categorical", _stat_sql(_CAT, _kind), 4)(lambda s, d, f=_f: f(nr.cluster_parts(ad.cells(s, d), RADIUS)))
 for _star in (True, False):
     _o = int(_star)
     query(
