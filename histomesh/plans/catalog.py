@@ -151,7 +151,7 @@ query("nhood_composition_all", f"{_NW} select c.cell_id, {_pivot('w').replace('(
     lambda s, d: nr.composition(ad.cells(s, d), RADIUS, every=True)
 )
 for _name, _v in (("nhood_diversity", "w"), ("nhood_diversity_weighted", "wd")):
-    query(_name, f"{_NW} select cell_id, {r('greatest(0, -h)', 'shannon')}, {r('1 - q', 'simpson')} from ({_DIV.format(v=_v)})")(lambda s, d, v=_v: gr.diversity(_graph(s, d), ad.clusters(s, d), v == "wd"))
+    query(_name, f"{_NW} select cell_id, {r('greatest(0, -h)', 'shannon')}, {r('1 - q', 'simpson')} from ({_DIV.format(v=_v)})")(lambda s, d, v=_v: nr.diversity(ad.cells(s, d), RADIUS, v == "wd"))
 query("nhood_diversity_all", f"{_NW} select cell_id, {r('coalesce(greatest(0, -h), 0)', 'shannon')}, {r('coalesce(1 - q, 0)', 'simpson')} from cells left join ({_DIV.format(v='w')}) using (cell_id)")(
     lambda s, d: gr.diversity(_graph(s, d), ad.clusters(s, d), cells=ad.cells(s, d))
 )
