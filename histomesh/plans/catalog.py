@@ -194,7 +194,7 @@ select cell_id, {r('case when k > 1 then 2 * coalesce(t, 0) / (k * (k - 1)) else
 
 @query("plot_neighborhood_bar", f"{_NW}, m as (select c.cluster, " + ", ".join(f"avg(coalesce(p.\"{k}\", 0)) as \"{k}\"" for k in KINDS) + f" from (select cell_id, {_pivot('w')} from w group by 1) p join cells c using (cell_id) group by 1) select cluster, " + ", ".join(r(f'"{k}" / ({" + ".join(chr(34) + q + chr(34) for q in KINDS)})', f'"{k}"') for k in KINDS) + " from m")
 def _bar(s, d):
-    mean = gr.composition(_graph(s, d), ad.clusters(s, d)).join(ad.clusters(s, d), "cell_id").groupBy("cluster").agg(*[F.avg(k).alias(k) for k in KINDS])
+    mean = nr.mean_composition(ad.cells(s, d), RADIUS)
     whole = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
     return mean.select("cluster", *[(F.col(k) / whole).alias(k) for k in KINDS])
 
