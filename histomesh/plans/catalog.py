@@ -153,7 +153,7 @@ query("nhood_composition_all", f"{_NW} select c.cell_id, {_pivot('w').replace('(
 for _name, _v in (("nhood_diversity", "w"), ("nhood_diversity_weighted", "wd")):
     query(_name, f"{_NW} select cell_id, {r('greatest(0, -h)', 'shannon')}, {r('1 - q', 'simpson')} from ({_DIV.format(v=_v)})")(lambda s, d, v=_v: nr.diversity(ad.cells(s, d), RADIUS, v == "wd"))
 query("nhood_diversity_all", f"{_NW} select cell_id, {r('coalesce(greatest(0, -h), 0)', 'shannon')}, {r('coalesce(1 - q, 0)', 'simpson')} from cells left join ({_DIV.format(v='w')}) using (cell_id)")(
-    lambda s, d: gr.diversity(_graph(s, d), ad.clusters(s, d), cells=ad.cells(s, d))
+    lambda s, d: nr.diversity(ad.cells(s, d), RADIUS, every=True)
 )
 _HOP = f"""{_E}, two as (select distinct a.cell_id, b.other from both_ways a join both_ways b on a.other = b.cell_id where a.cell_id <> b.other),
 n1 as (select cell_id, count(*) as n_order_1 from both_ways group by 1), n2 as (select cell_id, count(*) as n_order_2 from two anti join both_ways using (cell_id, other) group by 1)"""
