@@ -173,7 +173,7 @@ query(
 
 @query("plot_colocalization_matrix", f"{_CO}, u as (select cluster_a as a, cluster_b as b, observed / expected as v from k union select cluster_b, cluster_a, observed / expected from k) select a as cluster, " + ", ".join(r(f"sum(v) filter (b = '{c}')", f'"{c}"') for c in KINDS) + " from u group by 1")
 def _matrix(s, d):
-    c = gr.colocalization(_graph(s, d), ad.clusters(s, d)).select("cluster_a", "cluster_b", "ratio")
+    c = nr.colocalization(ad.cells(s, d), RADIUS).select("cluster_a", "cluster_b", "ratio")
     both = c.union(c.select("cluster_b", "cluster_a", "ratio").where("cluster_a <> cluster_b"))
     return both.withColumnRenamed("cluster_a", "cluster").groupBy("cluster").pivot("cluster_b", list(KINDS)).agg(F.sum("ratio"))
 
