@@ -146,7 +146,7 @@ _NW = f"{_E}, w as (select b.cell_id, c.cluster, count(*)::double as w, sum(1 /
 _pivot = lambda v: ", ".join(f"round(coalesce(sum({v}) filter (cluster = '{c}'), 0), 6) + 0.0 as \"{c}\"" for c in KINDS)
 _DIV = "select cell_id, sum(p * ln(p + 1e-15)) as h, sum(p * p) as q from (select *, {v} / sum({v}) over (partition by cell_id) as p from w) group by 1"
 query("nhood_composition", f"{_NW} select cell_id, {_pivot('w')} from w group by 1")(lambda s, d: nr.composition(ad.cells(s, d), RADIUS))
-query("nhood_composition_weighted", f"{_NW} select cell_id, {_pivot('wd')} from w group by 1")(lambda s, d: gr.composition(_graph(s, d), ad.clusters(s, d), weighted=True))
+query("nhood_composition_weighted", f"{_NW} select cell_id, {_pivot('wd')} from w group by 1")(lambda s, d: nr.composition(ad.cells(s, d), RADIUS, weighted=True))
 query("nhood_composition_all", f"{_NW} select c.cell_id, {_pivot('w').replace('(cluster', '(w.cluster')} from cells c left join w using (cell_id) group by 1")(
     lambda s, d: nr.composition(ad.cells(s, d), RADIUS, every=True)
 )
