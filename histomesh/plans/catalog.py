@@ -189,7 +189,7 @@ query(
     f"""{_E}, deg as (select cell_id, count(*) as k from both_ways group by 1), t as (select a.cell_id, count(*) as t from both_ways a join both_ways b on a.cell_id = b.cell_id and a.other < b.other
  join edges e on e.cell_id_a = a.other and e.cell_id_b = b.other group by 1)
 select cell_id, {r('case when k > 1 then 2 * coalesce(t, 0) / (k * (k - 1)) else 0 end', 'clustering_coeff')} from cells left join deg using (cell_id) left join t using (cell_id)""",
-)(lambda s, d: gr.clustering_coefficient(_graph(s, d), ad.cells(s, d)))
+)(lambda s, d: nr.clustering_coefficient(ad.cells(s, d), RADIUS))
 
 
 @query("plot_neighborhood_bar", f"{_NW}, m as (select c.cluster, " + ", ".join(f"avg(coalesce(p.\"{k}\", 0)) as \"{k}\"" for k in KINDS) + f" from (select cell_id, {_pivot('w')} from w group by 1) p join cells c using (cell_id) group by 1) select cluster, " + ", ".join(r(f'"{k}" / ({" + ".join(chr(34) + q + chr(34) for q in KINDS)})', f'"{k}"') for k in KINDS) + " from m")
