@@ -157,9 +157,9 @@ query("nhood_diversity_all", f"{_NW} select cell_id, {r('coalesce(greatest(0, -h
 )
 _HOP = f"""{_E}, two as (select distinct a.cell_id, b.other from both_ways a join both_ways b on a.other = b.cell_id where a.cell_id <> b.other),
 n1 as (select cell_id, count(*) as n_order_1 from both_ways group by 1), n2 as (select cell_id, count(*) as n_order_2 from two anti join both_ways using (cell_id, other) group by 1)"""
-query("nth_order", f"{_HOP} select cell_id, n_order_1, coalesce(n_order_2, 0) as n_order_2 from n1 left join n2 using (cell_id)")(lambda s, d: gr.nth_order(_graph(s, d), 2))
+query("nth_order", f"{_HOP} select cell_id, n_order_1, coalesce(n_order_2, 0) as n_order_2 from n1 left join n2 using (cell_id)")(lambda s, d: nr.nth_order(ad.cells(s, d), RADIUS, 2))
 query("nth_order_all", f"{_HOP} select cell_id, coalesce(n_order_1, 0) as n_order_1, coalesce(n_order_2, 0) as n_order_2 from cells left join n1 using (cell_id) left join n2 using (cell_id)")(
-    lambda s, d: gr.nth_order(_graph(s, d), 2, ad.cells(s, d))
+    lambda s, d: nr.nth_order(ad.cells(s, d), RADIUS, 2, every=True)
 )
 _CO = f"""{_E}, z as (select cluster, count(*) as n from cells group by 1), o as (select least(a.cluster, b.cluster) as ca, greatest(a.cluster, b.cluster) as cb, count(*) as m
  from edges join cells a on a.cell_id = cell_id_a join cells b on b.cell_id = cell_id_b group by 1, 2),
