@@ -308,12 +308,12 @@ query("frame_query_radius", f"{_H} select cell_id from h where pow(greatest(x -
     lambda s, d: sh.query_radius(ad.frames(s, d), 201.5, 101.5, 0.4).select("cell_id")
 )
 
-# --- what plots draw: at most 100000 cells, which is every cell of the tables that the SQL is compared on ---
+# --- what plots draw: every cell, as the SQL has it ---
 query("plot_spatial_scatter", f"{_C} select cell_id, {r('x', 'x')}, {r('y', 'y')}, cluster as value, true as categorical from cells where x between 10 and 500 and y between 20 and 300")(
-    lambda s, d: pl.spatial_scatter(ad.cells(s, d), ad.clusters(s, d), "cluster", (10, 500), (20, 300))
+    lambda s, d: pl.spatial_scatter(ad.cells(s, d), ad.clusters(s, d), "cluster", (10, 500), (20, 300), max_cells=None)
 )
 query("plot_spatial_polygons", f"{_B}, t as (select p_partkey::varchar as cell_id, p_type from part) select cell_id, p_type as value, true as categorical from boxes join t using (cell_id) where x_max >= 100 and x_min <= 300 and y_max >= 20 and y_min <= 150")(
-    lambda s, d: pl.spatial_polygons(ad.boxes(s, d), ad.boxes(s, d).select("cell_id", F.col("cluster").alias("kind")), "kind", (100, 300), (20, 150)).drop("ring")
+    lambda s, d: pl.spatial_polygons(ad.boxes(s, d), ad.boxes(s, d).select("cell_id", F.col("cluster").alias("kind")), "kind", (100, 300), (20, 150), max_cells=None).drop("ring")
 )
 query("plot_scatter", f"with {ad.EMB_SQL} select cell_id, {r('v[1]', 'x')}, {r('v[2]', 'y')}, label as value, true as categorical from emb")(lambda s, d: pl.scatter(ad.embedding(s, d).select("cell_id", "v"), ad.embedding(s, d), "label"))
 query("plot_spatial_expression", f"{_C}, {ad.EXPR_SQL} select c.cell_id, {r('x', 'x')}, {r('y', 'y')}, {r('coalesce(e.value, 0)', 'value')}, false as categorical from cells c left join (select * from expr where gene = (select min(p_name) from part)) e on e.cell::varchar = c.cell_id")(
