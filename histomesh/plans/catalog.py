@@ -317,7 +317,7 @@ query("plot_spatial_polygons", f"{_B}, t as (select p_partkey::varchar as cell_i
 )
 query("plot_scatter", f"with {ad.EMB_SQL} select cell_id, {r('v[1]', 'x')}, {r('v[2]', 'y')}, label as value, true as categorical from emb")(lambda s, d: pl.scatter(ad.embedding(s, d).select("cell_id", "v"), ad.embedding(s, d), "label", max_cells=None))
 query("plot_spatial_expression", f"{_C}, {ad.EXPR_SQL} select c.cell_id, {r('x', 'x')}, {r('y', 'y')}, {r('coalesce(e.value, 0)', 'value')}, false as categorical from cells c left join (select * from expr where gene = (select min(p_name) from part)) e on e.cell::varchar = c.cell_id")(
-    lambda s, d: pl.spatial_expression(ad.cells(s, d), ad.expression(s, d), ad.read(s, d, "part").agg(F.min("p_name")).first()[0])
+    lambda s, d: pl.spatial_expression(ad.cells(s, d), ad.expression(s, d), ad.read(s, d, "part").agg(F.min("p_name")).first()[0], max_cells=None)
 )
 
 # --- embeddings ---

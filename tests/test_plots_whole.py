@@ -25,7 +25,7 @@ def large(spark, tmp_path_factory):
     return at
 
 
-NAMES = ["plot_spatial_scatter", "plot_scatter"]
+NAMES = ["plot_spatial_scatter", "plot_scatter", "plot_spatial_expression"]
 
 
 @pytest.mark.parametrize("name", NAMES)
