@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.functions.mathx import chi2_sf, two_sided
-from histomesh.operators.graphs import CHUNK, TILE, Cuts, colocalization, nearest
+from histomesh.operators.graphs import CHUNK, TILE, Cuts, nearest, ratios
 from histomesh.sources.catalog import checkpointed
 
 TINY = 1e-10
@@ -148,39 +147,100 @@ def quadrat_density(points: DataFrame, n_bins: int = 10) -> DataFrame:
     return out.mapInPandas(tail, f"cluster {kind}, chi2 double, density_mean double, density_std double, p_value double")
 
 
+#: Edges that are counted at once under all permutations.
+EDGES = 1 << 20
+
+
+def _dealt(h: np.ndarray, seed: int, rep: int) -> np.ndarray:
+    """The cells' hashes of a permutation, from their own hashes (a finaliser of two rounds)."""
+    key = np.uint64(((rep + 1) * 0x9E3779B97F4A7C15 + (seed << 32)) & 0xFFFFFFFFFFFFFFFF)
+    z = h.view(np.uint64) ^ key
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int = 1000, statistic: str = "ratio", seed: int = 42) -> DataFrame:
     """cluster_a, cluster_b, observed_ratio, p_value, z_score of edges between clusters under label permutation. statistic: "ratio" (observed over
     expected, of labelled edges) or "count".
 
-    A permutation ranks the cells by a seeded hash and deals the labels out along the ranks, so a cell's label follows from its hash and the hashes at
+    A permutation ranks the cells by a hash of its own and deals the labels out along the ranks, so a cell's label follows from its hash and the hashes at
     which one label's share ends and the next one's begins. Those are found from counts by hash prefix and a ranking of the few cells with the
-    prefix in which a share ends; edges are then counted in place, without a join. Cells and edges stay where they are at every size."""
+    prefix in which a share ends; edges are then counted in place, each cell of a run of EDGES edges labelled once. Cells and edges stay where they are at every size."""
     if statistic not in ("ratio", "count"):
         raise ValueError("statistic must be ratio or count")
     spark = edges.sparkSession
-    named = checkpointed(clusters.where("cluster is not null").select("cell_id", F.col("cluster").cast("string").alias("c")))
+    named = checkpointed(clusters.where("cluster is not null").select(F.xxhash64(F.lit(seed), "cell_id").alias("h"), "cell_id", F.col("cluster").cast("string").alias("c")))
     sizes = sorted(map(tuple, named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()))  # a row a cluster
     names, n = [c for c, _ in sizes], sum(m for _, m in sizes)
-    ends = np.cumsum([m for _, m in sizes])[:-1]
-    end = lambda s: named.select(F.col("cell_id").alias(f"cell_id_{s}"), F.col("c").alias(f"c{s}"))
-    labelled = checkpointed(edges.select("cell_id_a", "cell_id_b").join(end("a"), "cell_id_a").join(end("b"), "cell_id_b"))
-    hashed = lambda c: F.xxhash64(F.lit(seed), "rep", c)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("rep")
+    ends, kinds = np.cumsum([m for _, m in sizes], dtype=np.int64)[:-1], len(names)
+    end = lambda s: named.select(F.col("cell_id").alias(f"cell_id_{s}"), F.col("h").alias(f"h{s}"), F.col("c").alias(f"c{s}"))
+    labelled = checkpointed(edges.select("cell_id_a", "cell_id_b").join(end("a"), "cell_id_a").join(end("b"), "cell_id_b").select("ha", "hb", "ca", "cb"))
     bits = int(np.clip(np.log2(max(1, n / 64)), 4, 12))
-    prefix = lambda h: F.shiftright(h, 64 - bits)
-
-    ranks = named.select("cell_id", reps).select("rep", hashed("cell_id").alias("h"))
-    by = ranks.groupBy("rep", prefix("h").alias("p")).agg(F.count(F.lit(1)).alias("m"))
-    upto = by.withColumn("upto", F.sum("m").over(Window.partitionBy("rep").orderBy("p")))
-    share = spark.createDataFrame([(i, int(e)) for i, e in enumerate(ends)] or [(0, n)], "i int, last long")  # a row a cluster
-    cut = checkpointed(upto.join(F.broadcast(share), (F.col("upto") >= F.col("last")) & (F.col("upto") - F.col("m") < F.col("last"))).select("rep", "p", "i", (F.col("last") - F.col("upto") + F.col("m")).alias("k")))
-    few = ranks.withColumn("p", prefix("h")).join(F.broadcast(cut.select("rep", "p").distinct()), ["rep", "p"])  # at most a row a permutation and cluster
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("rep", "p").orderBy("h")))
-    last = cut.join(few, ["rep", "p", "k"]).groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("last"))
-    last = checkpointed(last)
-    label = lambda c: reduce(lambda a, b: a + b, [(hashed(c) > F.get("last", i)).cast("int") for i in range(len(ends))], F.lit(0))
-    many = labelled.select("cell_id_a", "cell_id_b", reps).join(F.broadcast(last), "rep").select("rep", label("cell_id_a").alias("x"), label("cell_id_b").alias("y"))
-    null = many.groupBy("rep", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    shift = np.uint64(64 - bits)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((n_permutations, 1 << bits), np.int64)
+        for b in batches:
+            for rep in range(n_permutations):
+                m[rep] += np.bincount((_dealt(b["h"].to_numpy(), seed, rep) >> shift).astype(np.int64), minlength=1 << bits)
+        if m.any():
+            yield pd.DataFrame({"rep": np.arange(n_permutations), "m": list(m)})
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        upto = np.cumsum(np.sum(rows["m"].to_list(), axis=0))
+        p = np.searchsorted(upto, ends)  # the prefix in which each share ends
+        return pd.DataFrame({"rep": rows["rep"].iloc[0], "i": np.arange(len(ends)), "p": p, "k": ends - np.concatenate([[0], upto])[p]})
+
+    cuts = named.select("h").mapInPandas(prefixes, "rep long, m array<long>").groupBy("rep").applyInPandas(cut, "rep long, i long, p long, k long").toPandas()  # a row a permutation and cluster
+    of = np.zeros((n_permutations, len(ends)), np.int64)
+    rank = of.copy()
+    of[cuts["rep"], cuts["i"]], rank[cuts["rep"], cuts["i"]] = cuts["p"], cuts["k"]
+
+    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rep in range(n_permutations):
+                h = _dealt(b["h"].to_numpy(), seed, rep)
+                h = h[np.isin((h >> shift).astype(np.int64), of[rep])]
+                yield pd.DataFrame({"rep": np.full(len(h), rep), "h": h.view(np.int64)})
+
+    def ranked(rows: pd.DataFrame) -> pd.DataFrame:
+        rep, h = int(rows["rep"].iloc[0]), np.sort(rows["h"].to_numpy().view(np.uint64))
+        first = np.searchsorted((h >> shift).astype(np.int64), of[rep])
+        return pd.DataFrame({"rep": rep, "i": np.arange(len(ends)), "h": h[first + rank[rep] - 1].view(np.int64)})
+
+    last = np.zeros((n_permutations, len(ends)), np.uint64)
+    if len(ends):
+        found = named.select("h").mapInPandas(few, "rep long, h long").groupBy("rep").applyInPandas(ranked, "rep long, i long, h long").toPandas()  # as many rows
+        last[found["rep"], found["i"]] = found["h"].to_numpy().view(np.uint64)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((n_permutations, kinds * kinds), np.int64)
+
+        def add(held: list[np.ndarray]) -> None:
+            cells, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            a, b = at.reshape(2, -1)
+            for rep in range(n_permutations):
+                h = _dealt(cells, seed, rep)
+                label = np.zeros(len(h), np.int64)
+                for t in last[rep]:
+                    label += h > t
+                m[rep] += np.bincount((label * kinds)[a] + label[b], minlength=kinds * kinds)
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b[["ha", "hb"]].to_numpy().T)
+            size += len(b)
+            if size >= EDGES:
+                add(held)
+                held, size = [], 0
+        if size:
+            add(held)
+        rep, pair = np.nonzero(m)
+        yield pd.DataFrame({"rep": rep, "x": (pair // kinds).astype(np.int32), "y": (pair % kinds).astype(np.int32), "n": m[rep, pair]})
+
+    null = labelled.select("ha", "hb").mapInPandas(counted, "rep long, x int, y int, n long")
+    null = null.groupBy("rep", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("n").alias("n"))
     place = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, c string")
     first, second = place.select(F.col("i").alias("x"), F.col("c").alias("cluster_a")), place.select(F.col("i").alias("y"), F.col("c").alias("cluster_b"))
     seen = labelled.groupBy(F.least("ca", "cb").alias("cluster_a"), F.greatest("ca", "cb").alias("cluster_b")).agg(F.count(F.lit(1)).alias("seen"))
@@ -193,7 +253,8 @@ def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int
     out = sums.select("cluster_a", "cluster_b", "seen", ((above + 1) / (n_permutations + 1)).alias("p_value"), F.when(sd > 0, (F.col("seen") - mean) / sd).otherwise(0.0).alias("z_score"))
     if statistic == "count":
         return out.select("cluster_a", "cluster_b", F.col("seen").cast("double").alias("observed_ratio"), "p_value", "z_score")
-    ratio = colocalization(edges, clusters, labelled.count()).select("cluster_a", "cluster_b", F.col("ratio").alias("observed_ratio"))
+    sums_of = spark.createDataFrame(sizes, "c string, n long")
+    ratio = ratios(sums_of, seen.withColumnRenamed("seen", "n"), labelled.agg(F.count(F.lit(1)).alias("edges_all"))).select("cluster_a", "cluster_b", F.col("ratio").alias("observed_ratio"))
     return out.join(ratio, ["cluster_a", "cluster_b"]).select("cluster_a", "cluster_b", "observed_ratio", "p_value", "z_score")
 
 
