@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from histomesh.functions.mathx import chi2_sf, two_sided
 from histomesh.operators.graphs import CHUNK, TILE, Cuts, nearest, ratios
+from histomesh.operators.near import within
 from histomesh.sources.catalog import checkpointed
 
 TINY = 1e-10
@@ -259,24 +260,29 @@ def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int
 
 
 def _pattern(function: str, pts: np.ndarray, r: np.ndarray, rng) -> np.ndarray:
-    """The function of a pattern held by one task, by blocks of distances."""
+    """The function of a pattern held by one task."""
     n = len(pts)
     area = max(np.ptp(pts[:, 0]) * np.ptp(pts[:, 1]), TINY)
 
     def least(queries, skip):
-        out = np.empty(len(queries))
-        for at in range(0, len(queries), 256):
-            d = np.hypot(*(queries[at : at + 256, None] - pts[None]).transpose(2, 0, 1))
-            if skip:
-                d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            out[at : at + 256] = d.min(axis=1)
-        return out
+        """Each query's distance to the nearest point, infinite beyond the last radius: looked for ever further out."""
+        out, reach = np.full(len(queries), np.inf), min(r[-1], 2 * np.sqrt(area / n))
+        left = np.arange(len(queries))
+        while True:
+            for i, j, d in within(*queries[left].T, *pts.T, reach):
+                if skip:
+                    other = j != left[i]
+                    i, d = i[other], d[other]
+                np.minimum.at(out, left[i], d)
+            left = left[out[left] == np.inf]
+            if reach >= r[-1] or not len(left):
+                return out
+            reach = min(r[-1], 2 * reach)
 
     if function in ("K", "L"):
         m = np.zeros(len(r))
-        for at in range(0, n, 256):
-            d = np.hypot(*(pts[at : at + 256, None] - pts[None]).transpose(2, 0, 1)).ravel()
-            m += np.cumsum(np.bincount(np.searchsorted(r, d[d <= r[-1]]), minlength=len(r) + 1)[: len(r)])
+        for _, _, d in within(*pts.T, *pts.T, r[-1]):
+            m += np.cumsum(np.bincount(np.searchsorted(r, d), minlength=len(r) + 1)[: len(r)])
         value = area / (n * (n - 1)) * (m - n)
         return value if function == "K" else np.sqrt(np.maximum(value, 0) / np.pi) - r
     if function == "G":
