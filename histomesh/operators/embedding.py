@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from histomesh.operators.cells import ranked
 from histomesh.sources.catalog import checkpointed
 
-#: Rows of an embedding that the driver-side kernels (Ward, diffusion map, modularity) take.
+#: Rows of an embedding that hierarchical() and the layouts take on the driver.
 DRIVER_ROWS = 20_000
+#: Rows up to which a diffusion map is taken from the whole matrix; entries of a block of distances or products on the driver.
+DENSE, ENTRIES = 1500, 1 << 22
 #: Rows of a block in neighbour search, about; pivots at most; rows whose distances are held at once.
 BLOCK, MAX_PIVOTS, CHUNK = 2048, 16_384, 256
 
@@ -29,6 +32,28 @@ def matrix(emb: DataFrame) -> tuple[list, np.ndarray]:
     return [r.cell_id for r in rows], np.array([r.v for r in rows], float)
 
 
+def _held(emb: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows by id, in arrays on the driver."""
+    table = emb.where("v is not null").select("cell_id", F.col("v").cast("array<double>").alias("v")).orderBy("cell_id").toArrow()
+    rows = table.column("v").combine_chunks()
+    return table.column("cell_id").to_numpy(), rows.flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+
+def _columns(emb: DataFrame, ids, **columns) -> DataFrame:
+    """cell_id and columns held on the driver."""
+    table = pa.table({"cell_id": pa.array(ids), **columns})
+    kinds = emb.sparkSession.createDataFrame(table) if len(table) else None
+    if kinds is None:
+        kind = emb.schema["cell_id"].dataType.simpleString()
+        return emb.sparkSession.createDataFrame([], f"cell_id {kind}, " + ", ".join(f"{c} {'int' if c == 'label' else 'array<double>'}" for c in columns))
+    return kinds.withColumn("cell_id", F.col("cell_id").cast(emb.schema["cell_id"].dataType))
+
+
+def _places(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value among sorted ids."""
+    return np.searchsorted(ids, values)
+
+
 def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int, skip: np.ndarray | None, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, d) of the k nearest rows of y within bound, nearest first, ties in order of y. skip: for each row of x the row of y left out, or -1.
     A matrix product picks candidates with room for rounding; their distances are then taken exactly."""
@@ -186,38 +211,56 @@ def kmeans(emb: DataFrame, n_clusters: int = 10, seed: int = 42, n_init: int = 1
 
 
 def hierarchical(emb: DataFrame, n_clusters: int = 10) -> DataFrame:
-    """cell_id, label: Ward agglomeration (nearest-neighbour chains) on the driver. Above DRIVER_ROWS it raises."""
+    """cell_id, label: Ward agglomeration on the driver. Above DRIVER_ROWS it raises; ward_clusters() takes any number."""
     ids, x = matrix(emb)
     return _labels(emb, ids, ward(x, n_clusters))
 
 
+def ward_clusters(emb: DataFrame, n_clusters: int = 10) -> DataFrame:
+    """cell_id, label: Ward agglomeration of all rows, which are held on the driver as one array. All clusters that are each other's nearest merge at once."""
+    ids, x = _held(emb)
+    return _columns(emb, ids, label=pa.array(ward(x, n_clusters), pa.int32()))
+
+
 def _labels(emb: DataFrame, ids: list, labels) -> DataFrame:
     kind = emb.schema["cell_id"].dataType.simpleString()
     return emb.sparkSession.createDataFrame(list(zip(ids, map(int, labels), strict=True)), f"cell_id {kind}, label int")
 
 
 def ward(x: np.ndarray, n_clusters: int) -> np.ndarray:
+    """Labels by rounds of merging all pairs that are each other's nearest. That gives the tree of merging the closest pair each time, as a merged cluster
+    is no nearer to a third one than the nearer of its parts; for the same reason only those look again whose nearest has merged."""
     n = len(x)
-    centre, size, live = x.copy(), np.ones(n), np.ones(n, bool)
-    member = np.arange(n)
-    merges, chain = [], []
-    while live.sum() > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(live)[0]))
-        a = chain[-1]
-        d = ((centre - centre[a]) ** 2).sum(axis=1) * size * size[a] / (size + size[a])
-        d[~live] = np.inf
-        d[a] = np.inf
-        b = int(d.argmin())
-        if len(chain) > 1 and d[chain[-2]] <= d[b]:
-            b = chain[-2]
-            chain = chain[:-2]
-            merges.append((d[b], a, b))
-            centre[b] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-            size[b] += size[a]
-            live[a] = False
-        else:
-            chain.append(b)
+    centre, size = x - (x.mean(axis=0) if n else 0.0), np.ones(n)
+    member, name = np.arange(n), np.arange(n)
+    near, cost = np.zeros(n, np.int64), np.full(n, np.inf)
+    merges, look = [], np.arange(n)
+    while len(centre) > 1:
+        square, step = (centre * centre).sum(axis=1)[:, None], max(1, ENTRIES // len(centre))
+        # squared distances as one product; a pair's cost divides them by the sum of the inverse sizes
+        right, inverse = np.hstack([-2 * centre, np.ones_like(square), square]).T, 1 / size
+        for at in range(0, len(look), step):
+            i = look[at : at + step]
+            d = np.hstack([centre[i], square[i], np.ones((len(i), 1))]) @ right
+            if len(centre) < n:
+                d /= inverse[i, None] + inverse
+            d[np.arange(len(i)), i] = np.inf
+            near[i] = d.argmin(axis=1)
+        cost[look] = ((centre[look] - centre[near[look]]) ** 2).sum(axis=1) * size[look] * size[near[look]] / (size[look] + size[near[look]])
+        a = np.flatnonzero((near[near] == np.arange(len(near))) & (np.arange(len(near)) < near))
+        if not len(a):  # rounding among equal distances
+            a = cost.argmin()[None]
+        b = near[a]
+        merges += zip(cost[a].tolist(), name[a].tolist(), name[b].tolist(), strict=True)
+        whole = size[a] + size[b]
+        centre[b] = (centre[a] * size[a, None] + centre[b] * size[b, None]) / whole[:, None]
+        size[b] = whole
+        gone, merged = np.zeros(len(near), bool), np.zeros(len(near), bool)
+        gone[a], merged[a], merged[b] = True, True, True
+        again = (merged | merged[near])[~gone]
+        place = np.cumsum(~gone) - 1
+        near, cost, centre, size, name = place[near[~gone]], cost[~gone], centre[~gone], size[~gone], name[~gone]
+        look = np.flatnonzero(again)
 
     def find(k):
         while member[k] != k:
@@ -234,17 +277,16 @@ def ward(x: np.ndarray, n_clusters: int) -> np.ndarray:
 
 def modularity_clusters(emb: DataFrame, k: int = 15, resolution: float = 1.0, refine: bool = True, seed: int = 42) -> DataFrame:
     """cell_id, label: communities of the neighbour graph by local moves and aggregation (Louvain); refine splits communities that fell apart into
-    their connected parts between levels (as Leiden guarantees). Edges are found by Spark; moves run on the driver up to DRIVER_ROWS nodes."""
-    edges = knn_edges(emb, k).collect() if emb.limit(DRIVER_ROWS + 1).count() <= DRIVER_ROWS else None
-    if edges is None:
-        raise ValueError(f"more than {DRIVER_ROWS} rows")
-    ids = sorted(r.cell_id for r in emb.select("cell_id").collect())
-    at = {c: i for i, c in enumerate(ids)}
-    graph: list[dict[int, float]] = [{} for _ in ids]
-    for e in edges:
-        a, b = at[e.cell_id_a], at[e.cell_id_b]
-        graph[a][b] = graph[b][a] = 1.0
-    return _labels(emb, ids, communities(graph, resolution, refine, seed))
+    their connected parts between levels (as Leiden guarantees). Edges are found by Spark; all of them are held on the driver, where the moves run."""
+    ids = emb.where("v is not null").select("cell_id").orderBy("cell_id").toArrow().column("cell_id").to_numpy()
+    edges = knn_edges(emb, k).toArrow()
+    a, b = (_places(ids, edges.column(c).to_numpy()) for c in ("cell_id_a", "cell_id_b"))
+    del edges
+    order = np.lexsort((np.concatenate([b, a]), np.concatenate([a, b])))
+    other, upto = np.concatenate([b, a])[order], np.searchsorted(np.concatenate([a, b])[order], np.arange(len(ids) + 1))
+    names = list(range(len(ids)))  # one object a node
+    graph = [dict.fromkeys([names[u] for u in other[s:e].tolist()], 1.0) for s, e in zip(upto[:-1], upto[1:], strict=True)]
+    return _columns(emb, ids, label=pa.array(communities(graph, resolution, refine, seed), pa.int32()))
 
 
 def communities(graph: list[dict[int, float]], resolution: float = 1.0, refine: bool = True, seed: int = 42) -> np.ndarray:
@@ -301,26 +343,77 @@ def _connected_parts(graph: list[dict[int, float]], of: np.ndarray) -> np.ndarra
 
 
 def diffmap(emb: DataFrame, n_components: int = 15) -> DataFrame:
-    """cell_id, v: leading eigenvectors (but the trivial one) of the row-normalised kernel over up to 30 neighbours, widths by the distance to the last."""
-    ids, x = matrix(emb)
+    """cell_id, v: leading eigenvectors (but the trivial one) of the row-normalised kernel over up to 30 neighbours, widths by the distance to the last.
+    The kernel's entries, some 60 a row, are held on the driver."""
+    ids = emb.where("v is not null").select("cell_id").orderBy("cell_id").toArrow().column("cell_id").to_numpy()
     n = len(ids)
     k = min(30, n - 1)
-    at = {c: i for i, c in enumerate(ids)}
-    near = nearest(emb, k).toPandas()
-    a, b, d = near["cell_id"].map(at).to_numpy(), near["other"].map(at).to_numpy(), near["d"].to_numpy()
+    near = nearest(emb, k).toArrow()
+    a, b, d = _places(ids, near.column("cell_id").to_numpy()), _places(ids, near.column("other").to_numpy()), near.column("d").to_numpy()
+    del near
     width = np.zeros(n)
     np.maximum.at(width, a, d)
     width[width == 0] = 1e-10
-    w = np.zeros((n, n))
-    w[a, b] = np.exp(-d * d / (width[a] * width[b]))
-    w = np.maximum(w, w.T)
-    root = np.sqrt(np.maximum(w.sum(axis=1), 1e-300))
-    value, vector = np.linalg.eigh(w / root[:, None] / root[None])
+    w = np.exp(-d * d / (width[a] * width[b]))
+    pair = np.concatenate([a * n + b, b * n + a])
+    pair, at = np.unique(pair, return_inverse=True)  # the greater of both ways: they are equal where there are both
+    both = np.zeros(len(pair))
+    both[at] = np.concatenate([w, w])
+    row, col = pair // n, pair % n
+    root = np.sqrt(np.maximum(np.bincount(row, both, n), 1e-300))
     m = min(n_components, n - 2)
-    top = (vector / root[:, None])[:, ::-1][:, 1 : m + 1]
+    vector = leading(row, col, both / (root[row] * root[col]), n, m + 1)
+    top = (vector / root[:, None])[:, 1 : m + 1]
     top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(m)])
-    kind = emb.schema["cell_id"].dataType.simpleString()
-    return emb.sparkSession.createDataFrame(list(zip(ids, top.tolist(), strict=True)), f"cell_id {kind}, v array<double>")
+    return _columns(emb, ids, v=pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * m, top.ravel()))
+
+
+def leading(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, m: int, steps: int = 5, most: int = 300, seed: int = 0) -> np.ndarray:
+    """The m eigenvectors of the largest eigenvalues of a symmetric matrix, given by its entries in order of rows: from the whole matrix up to DENSE rows, else
+    by block Krylov spaces that begin anew from their best vectors until all residuals are below 1e-9. A block holds more vectors than are asked for, so that
+    equal eigenvalues (of a graph in several parts) are all found."""
+    if n <= DENSE:
+        whole = np.zeros((n, n))
+        whole[row, col] = w
+        return np.linalg.eigh(whole)[1][:, ::-1][:, :m]
+    starts = np.searchsorted(row, np.arange(n + 1))
+    block = m + 8
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(starts, starts[cuts[-1]] + ENTRIES // block, "right")) - 1))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = starts[s], starts[e]
+            if i < j:
+                full = np.flatnonzero(starts[s:e] < starts[s + 1 : e + 1])
+                out[s + full] = np.add.reduceat(x[col[i:j]] * w[i:j, None], starts[s + full] - i, axis=0)
+        return out
+
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, block)))[0]
+    for _ in range(most):
+        space, product = [x], [times(x)]
+        for _ in range(steps - 1):
+            y = product[-1].copy()
+            for _ in range(2):
+                for q in space:
+                    y -= q @ (q.T @ y)
+            # (directions that are spent come out of qr at random, orthogonal but for what they share with the space)
+            y = np.linalg.qr(y)[0]
+            for q in space:
+                y -= q @ (q.T @ y)
+            space.append(np.linalg.qr(y)[0])
+            product.append(times(space[-1]))
+        q, aq = np.hstack(space), np.hstack(product)
+        t = q.T @ aq
+        value, turn = np.linalg.eigh((t + t.T) / 2)
+        turn = turn[:, ::-1][:, :block]
+        x, ax = q @ turn, aq @ turn
+        if np.sqrt(((ax - x * value[::-1][:block]) ** 2).sum(axis=0))[:m].max() < 1e-9:
+            return x[:, :m]
+        x = np.linalg.qr(x)[0]
+    raise ArithmeticError("eigenvectors didn't settle")
 
 
 def magic(emb: DataFrame, k: int = 5, t: int = 3) -> DataFrame:
