@@ -332,7 +332,7 @@ query("emb_label_transfer", f"{_V} select a.cell_id, arg_min(b.label, list_dista
 )
 query("emb_pca")(lambda s, d: em.pca(ad.embedding(s, d), 10)[0])
 query("emb_kmeans")(lambda s, d: em.kmeans(ad.embedding(s, d), 10))
-query("emb_ward")(lambda s, d: em.hierarchical(ad.embedding(s, d), 10))
+query("emb_ward")(lambda s, d: em.ward_clusters(ad.embedding(s, d), 10))
 query("emb_leiden")(lambda s, d: em.modularity_clusters(ad.embedding(s, d)))
 query("emb_louvain")(lambda s, d: em.modularity_clusters(ad.embedding(s, d), refine=False))
 query("emb_diffmap")(lambda s, d: em.diffmap(ad.embedding(s, d)))
