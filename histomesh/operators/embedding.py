@@ -132,6 +132,8 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
         """Pairs of a block of rows and a block of targets: rows that ask one block are split into runs of about as many as a block has."""
         runs = q.groupBy(to).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("runs"))
         left = q.join(runs, to).withColumn("run", F.pmod(F.xxhash64(F.lit(3), "cell_id"), "runs"))
+        if "v" not in q.columns:
+            left = left.join(asked.select("cell_id", "v"), "cell_id")
         fresh = lambda df, *names: df.select(*[F.col(c).alias(n) for c, n in names])  # noqa: E731 (columns of their own, though the table be the same)
         right = fresh(held, ("cell_id", "cell_id"), ("v", "v"), ("t", to)).join(fresh(runs, (to, to), ("runs", "runs")), to).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs").cast("long") - 1)))
         return left.groupBy(to, "run").cogroup(right.groupBy(to, "run")).applyInPandas(search, f"cell_id {kind}, other {kind}, d double")
@@ -149,9 +151,10 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
                 n = blocks[c]
                 to = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 part = part.iloc[np.repeat(row, n)].assign(to=to)
-                yield part[part["to"] != part["t"]][["cell_id", "v", "r", "to"]]
+                yield part[part["to"] != part["t"]][["cell_id", "r", "to"]]
 
-    more = dealt(checkpointed(bound.mapInPandas(reached, f"cell_id {kind}, v array<double>, r double, to long")), "to")
+    # kept without the rows themselves, which would be written once for each block
+    more = dealt(checkpointed(bound.mapInPandas(reached, f"cell_id {kind}, r double, to long")), "to")
     return ranked(near.union(more), ["cell_id"], ["d", "other"], k).select("cell_id", "other", "d")
 
 
