@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.functions.mathx import chi2_sf, two_sided
+from histomesh.operators import near as nr
 from histomesh.operators.graphs import CHUNK, TILE, Cuts, nearest, ratios
 from histomesh.operators.near import within
 from histomesh.sources.catalog import checkpointed
@@ -170,13 +172,123 @@ def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int
     prefix in which a share ends; edges are then counted in place, each cell of a run of EDGES edges labelled once. Cells and edges stay where they are at every size."""
     if statistic not in ("ratio", "count"):
         raise ValueError("statistic must be ratio or count")
-    spark = edges.sparkSession
     named = checkpointed(clusters.where("cluster is not null").select(F.xxhash64(F.lit(seed), "cell_id").alias("h"), "cell_id", F.col("cluster").cast("string").alias("c")))
     sizes = sorted(map(tuple, named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()))  # a row a cluster
     names, n = [c for c, _ in sizes], sum(m for _, m in sizes)
     ends, kinds = np.cumsum([m for _, m in sizes], dtype=np.int64)[:-1], len(names)
     end = lambda s: named.select(F.col("cell_id").alias(f"cell_id_{s}"), F.col("h").alias(f"h{s}"), F.col("c").alias(f"c{s}"))
     labelled = checkpointed(edges.select("cell_id_a", "cell_id_b").join(end("a"), "cell_id_a").join(end("b"), "cell_id_b").select("ha", "hb", "ca", "cb"))
+    last = _ends(named, ends, n, n_permutations, seed)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((n_permutations, kinds * kinds), np.int64)
+
+        def add(held: list[np.ndarray]) -> None:
+            cells, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            a, b = at.reshape(2, -1)
+            for rep in range(n_permutations):
+                h = _dealt(cells, seed, rep)
+                label = np.zeros(len(h), np.int64)
+                for t in last[rep]:
+                    label += h > t
+                m[rep] += np.bincount((label * kinds)[a] + label[b], minlength=kinds * kinds)
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b[["ha", "hb"]].to_numpy().T)
+            size += len(b)
+            if size >= EDGES:
+                add(held)
+                held, size = [], 0
+        if size:
+            add(held)
+        rep, pair = np.nonzero(m)
+        yield pd.DataFrame({"rep": rep, "x": (pair // kinds).astype(np.int32), "y": (pair % kinds).astype(np.int32), "n": m[rep, pair]})
+
+    null = labelled.select("ha", "hb").mapInPandas(counted, "rep long, x int, y int, n long")
+    null = null.groupBy("rep", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("n").alias("n"))
+    seen = labelled.groupBy(F.least("ca", "cb").alias("cluster_a"), F.greatest("ca", "cb").alias("cluster_b")).agg(F.count(F.lit(1)).alias("seen"))
+    return _tested(sizes, null, seen, n_permutations, statistic)
+
+
+#: Points whose distances to all around them are held at once, and permutations that are counted at once, where permuted labels are counted in tiles.
+POINTS, REPS = 256, 100
+
+
+def _halves(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """at in parts of at most POINTS that lie together."""
+    if len(at) <= POINTS:
+        yield at
+        return
+    v = x[at] if np.ptp(x[at]) >= np.ptp(y[at]) else y[at]
+    order, half = np.argpartition(v, len(at) // 2), len(at) // 2
+    yield from _halves(at[order[:half]], x, y)
+    yield from _halves(at[order[half:]], x, y)
+
+
+def permutation_test_near(points: DataFrame, radius: float, n_permutations: int = 1000, statistic: str = "ratio", seed: int = 42) -> DataFrame:
+    """permutation_test() of the points (cell_id, x, y, cluster) at most radius apart, without a table of edges: in tiles, some points at a time, the labels around them
+    are counted for many permutations by one matrix product, several labels in the digits of one number (exact: below 2^24)."""
+    if statistic not in ("ratio", "count"):
+        raise ValueError("statistic must be ratio or count")
+    named = points.where("cluster is not null").select(F.xxhash64(F.lit(seed), "cell_id").alias("h"), "cell_id", "x", "y", F.col("cluster").cast("string").alias("cluster"))
+    sizes = sorted(map(tuple, named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()))  # a row a cluster
+    names, n = [c for c, _ in sizes], sum(m for _, m in sizes)
+    ends, kinds = np.cumsum([m for _, m in sizes], dtype=np.int64)[:-1], len(names)
+    last = _ends(named, ends, n, n_permutations, seed)
+
+    def counted(table: pa.Table) -> pa.Table:
+        x, y, h = (table.column(c).to_numpy() for c in ("x", "y", "h"))
+        m = np.zeros((n_permutations + 1, kinds, kinds), np.int64)
+        label = np.zeros((n_permutations + 1, len(x)), np.min_scalar_type(kinds))
+        label[n_permutations] = table.column("c").to_numpy()  # as seen
+        for rep in range(n_permutations):
+            dealt = _dealt(h, seed, rep)
+            for t in last[rep]:
+                label[rep] += dealt > t
+        for own in _halves(np.flatnonzero(table.column("home").to_numpy()), x, y):
+            if not len(own):
+                continue
+            room = radius * (1 + 1e-9)
+            near = np.flatnonzero((x >= x[own].min() - room) & (x <= x[own].max() + room) & (y >= y[own].min() - room) & (y <= y[own].max() + room))
+            there = np.sqrt((x[own, None] - x[near]) ** 2 + (y[own, None] - y[near]) ** 2) <= radius
+            there[np.arange(len(own)), np.searchsorted(near, own)] = False
+            degree = there.sum(axis=1)
+            bits = max(1, int(degree.max()).bit_length())
+            each, there = max(1, 24 // bits), there.T.astype(np.float32)
+            for at in range(0, n_permutations + 1, REPS):
+                around, mine = label[at : at + REPS, near], label[at : at + REPS, own]
+                reps = len(mine)
+                key = (mine + np.arange(reps)[:, None] * kinds).ravel()
+                add = lambda v, key=key, reps=reps: np.bincount(key, v.ravel(), reps * kinds).reshape(reps, kinds).astype(np.int64)
+                rest = add(np.broadcast_to(degree, mine.shape))
+                for first in range(0, kinds - 1, each):
+                    some = range(first, min(first + each, kinds - 1))
+                    digit = np.zeros(kinds, np.float32)
+                    digit[list(some)] = [1 << bits * (k - first) for k in some]
+                    sums = (digit[around] @ there).astype(np.int32)
+                    for k in some:
+                        found = add(sums >> bits * (k - first) & (1 << bits) - 1)
+                        m[at : at + REPS, :, k] += found
+                        rest -= found
+                m[at : at + REPS, :, kinds - 1] += rest
+        m += m.transpose(0, 2, 1) * ~np.eye(kinds, dtype=bool)  # each pair is met from either end
+        rep, a, b = np.nonzero(np.triu(m))
+        return pa.table({"rep": rep, "x": a.astype(np.int32), "y": b.astype(np.int32), "n": m[rep, a, b]})
+
+    rows = nr._placed(named).select("x", "y", "h", nr._code(names).alias("c"))
+    tile = max(nr.TILE, min(8 * nr.TILE, n // nr.TILES))
+    twice = nr._dealt(rows, radius, tile).groupBy("t").applyInArrow(counted, "rep long, x int, y int, n long")
+    both = checkpointed(twice.groupBy("rep", "x", "y").agg((F.sum("n") / 2).cast("long").alias("n")))  # rows: permutations by pairs of clusters
+    place = points.sparkSession.createDataFrame(list(enumerate(names)), "i int, c string")
+    seen = both.where(F.col("rep") == n_permutations)
+    for c, k in (("x", "cluster_a"), ("y", "cluster_b")):
+        seen = seen.join(F.broadcast(place.select(F.col("i").alias(c), F.col("c").alias(k))), c)  # a row a cluster
+    return _tested(sizes, both.where(F.col("rep") < n_permutations), seen.select("cluster_a", "cluster_b", F.col("n").alias("seen")), n_permutations, statistic)
+
+
+def _ends(named: DataFrame, ends: np.ndarray, n: int, n_permutations: int, seed: int) -> np.ndarray:
+    """For each permutation, the hash of the last cell of each label's share but the last one's, of n cells (h: their own hashes)."""
     bits = int(np.clip(np.log2(max(1, n / 64)), 4, 12))
     shift = np.uint64(64 - bits)
 
@@ -215,36 +327,14 @@ def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int
         found = named.select("h").mapInPandas(few, "rep long, h long").groupBy("rep").applyInPandas(ranked, "rep long, i long, h long").toPandas()  # as many rows
         last[found["rep"], found["i"]] = found["h"].to_numpy().view(np.uint64)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = np.zeros((n_permutations, kinds * kinds), np.int64)
-
-        def add(held: list[np.ndarray]) -> None:
-            cells, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
-            a, b = at.reshape(2, -1)
-            for rep in range(n_permutations):
-                h = _dealt(cells, seed, rep)
-                label = np.zeros(len(h), np.int64)
-                for t in last[rep]:
-                    label += h > t
-                m[rep] += np.bincount((label * kinds)[a] + label[b], minlength=kinds * kinds)
+    return last
 
-        held, size = [], 0
-        for b in batches:
-            held.append(b[["ha", "hb"]].to_numpy().T)
-            size += len(b)
-            if size >= EDGES:
-                add(held)
-                held, size = [], 0
-        if size:
-            add(held)
-        rep, pair = np.nonzero(m)
-        yield pd.DataFrame({"rep": rep, "x": (pair // kinds).astype(np.int32), "y": (pair % kinds).astype(np.int32), "n": m[rep, pair]})
 
-    null = labelled.select("ha", "hb").mapInPandas(counted, "rep long, x int, y int, n long")
-    null = null.groupBy("rep", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("n").alias("n"))
+def _tested(sizes: list[tuple], null: DataFrame, seen: DataFrame, n_permutations: int, statistic: str) -> DataFrame:
+    """The test's table. sizes: (cluster, cells) by cluster; null: rep, x <= y (places in sizes), n edges; seen: cluster_a, cluster_b, seen."""
+    spark, names = null.sparkSession, [c for c, _ in sizes]
     place = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, c string")
     first, second = place.select(F.col("i").alias("x"), F.col("c").alias("cluster_a")), place.select(F.col("i").alias("y"), F.col("c").alias("cluster_b"))
-    seen = labelled.groupBy(F.least("ca", "cb").alias("cluster_a"), F.greatest("ca", "cb").alias("cluster_b")).agg(F.count(F.lit(1)).alias("seen"))
     base = first.join(second, F.col("x") <= F.col("y")).join(seen, ["cluster_a", "cluster_b"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))  # clusters squared
     # a pair without an edge in a permutation has no row there: its zeros are added to the sums
     sums = base.join(null, ["x", "y"], "left").groupBy("cluster_a", "cluster_b", "seen").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("q"), F.count_if(F.col("n") >= F.col("seen")).alias("above"), F.count("n").alias("some"))
@@ -255,7 +345,7 @@ def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int
     if statistic == "count":
         return out.select("cluster_a", "cluster_b", F.col("seen").cast("double").alias("observed_ratio"), "p_value", "z_score")
     sums_of = spark.createDataFrame(sizes, "c string, n long")
-    ratio = ratios(sums_of, seen.withColumnRenamed("seen", "n"), labelled.agg(F.count(F.lit(1)).alias("edges_all"))).select("cluster_a", "cluster_b", F.col("ratio").alias("observed_ratio"))
+    ratio = ratios(sums_of, seen.withColumnRenamed("seen", "n"), seen.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("edges_all"))).select("cluster_a", "cluster_b", F.col("ratio").alias("observed_ratio"))
     return out.join(ratio, ["cluster_a", "cluster_b"]).select("cluster_a", "cluster_b", "observed_ratio", "p_value", "z_score")
 
 
