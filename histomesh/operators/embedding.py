@@ -22,6 +22,8 @@ DRIVER_ROWS = 20_000
 DENSE, ENTRIES = 1500, 1 << 22
 #: Rows of a block in neighbour search, about; pivots at most; rows whose distances are held at once.
 BLOCK, MAX_PIVOTS, CHUNK = 2048, 16_384, 256
+#: Blocks that are searched as one, and the bytes of rows that they may have together: each is written once for every such group of rows that asks it.
+TOGETHER, HELD = 8, 1 << 24
 
 
 def matrix(emb: DataFrame) -> tuple[list, np.ndarray]:
@@ -83,7 +85,8 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
 
     Targets lie in cells around pivots (some of them, picked by hash), in blocks of about BLOCK rows. A row first looks at one block of the cell of its
     nearest pivot, which bounds its k-th distance, and then at the blocks of every cell that the bound can reach: by the triangle inequality
-    those whose pivot is no further than the bound and the cell's radius. Where nothing can be ruled out, each pair of blocks is one group, as large as any other."""
+    those whose pivot is no further than the bound and the cell's radius. Up to TOGETHER blocks of neighbouring pivots are searched as one. Where nothing can be
+    ruled out, each pair of such is one group, as large as any other."""
     own = targets is None
     kind = emb.schema["cell_id"].dataType.simpleString()
     rows = lambda df: df.where("cell_id is not null and v is not null").select("cell_id", F.col("v").cast("array<double>").alias("v"))
@@ -94,6 +97,9 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
     size = max(BLOCK, 2 * k)
     n_pivots = min(MAX_PIVOTS, max(1, -(-m // size)))
     pivots = np.array([r.v for r in held.orderBy(F.xxhash64(F.lit(7), "cell_id")).limit(n_pivots).collect()], float)  # at most MAX_PIVOTS rows
+    # in an order that follows their widest direction
+    pivots = pivots[np.argsort((pivots - pivots.mean(axis=0)) @ np.linalg.eigh(np.cov(pivots.T).reshape(pivots.shape[1], -1))[1][:, -1], kind="stable")] if n_pivots > 2 else pivots
+    joint = max(1, min(TOGETHER, HELD // (8 * size * max(1, pivots.shape[1]))))
 
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,14 +113,16 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
     for c, (n, far) in cells.items():
         blocks[c], radius[c] = -(-n // size), far
     first = np.cumsum(blocks) - blocks
+    groups = int(blocks.sum()) // joint + 1
     spot = emb.sparkSession.createDataFrame([(i, int(f), int(b)) for i, (f, b) in enumerate(zip(first, blocks, strict=True))], "c int, first long, blocks long")
-    held = held.join(F.broadcast(spot), "c").select("cell_id", "v", "c", (F.col("first") + F.pmod(F.xxhash64("cell_id"), "blocks")).alias("t"))  # a row a pivot
+    block = F.floor((F.col("first") + F.pmod(F.xxhash64("cell_id"), "blocks")) / joint)
+    held = held.join(F.broadcast(spot), "c").select("cell_id", "v", "c", block.alias("t"))  # a row a pivot
     held = checkpointed(held)
     if own:
         asked = held
     else:
         asked = rows(emb).mapInPandas(assigned, f"cell_id {kind}, v array<double>, c int, far double").join(F.broadcast(spot), "c")
-        asked = checkpointed(asked.select("cell_id", "v", "c", (F.col("first") + F.pmod(F.xxhash64("cell_id"), "blocks")).alias("t")))
+        asked = checkpointed(asked.select("cell_id", "v", "c", block.alias("t")))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("cell_id", kind="stable")
@@ -130,7 +138,7 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
 
     def dealt(q: DataFrame, to: str) -> DataFrame:
         """Pairs of a block of rows and a block of targets: rows that ask one block are split into runs of about as many as a block has."""
-        runs = q.groupBy(to).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("runs"))
+        runs = q.groupBy(to).agg(F.ceil(F.count(F.lit(1)) / (size * joint)).cast("int").alias("runs"))
         left = q.join(runs, to).withColumn("run", F.pmod(F.xxhash64(F.lit(3), "cell_id"), "runs"))
         if "v" not in q.columns:
             left = left.join(asked.select("cell_id", "v"), "cell_id")
@@ -149,8 +157,9 @@ def nearest(emb: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
                 _, far, _ = _to_pivots(np.array(part["v"].tolist(), float), pivots)
                 row, c = np.nonzero(far <= part["r"].to_numpy(float)[:, None] * (1 + 1e-9) + radius * (1 + 1e-9) + 1e-9 * far)
                 n = blocks[c]
-                to = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                part = part.iloc[np.repeat(row, n)].assign(to=to)
+                to = (np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())) // joint
+                row, to = np.divmod(np.unique(np.repeat(row, n) * groups + to), groups)
+                part = part.iloc[row].assign(to=to)
                 yield part[part["to"] != part["t"]][["cell_id", "r", "to"]]
 
     # kept without the rows themselves, which would be written once for each block

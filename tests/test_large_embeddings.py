@@ -78,3 +78,27 @@ def test_leading_vectors_of_a_graph_in_parts(monkeypatch):
     values = np.linalg.eigvalsh(a)[::-1][:6]
     assert np.allclose(values[:4], 1) and np.allclose((got * (a @ got)).sum(axis=0), values) and np.allclose(a @ got, got * values, atol=1e-7)
     assert np.allclose(got[:, :4] @ got[:, :4].T, whole[:, :4] @ whole[:, :4].T, atol=1e-7)
+
+
+@pytest.mark.parametrize(("together", "n_pivots"), [(1, 13), (4, 13), (8, 2)])
+def test_blocks_searched_together(spark, monkeypatch, together, n_pivots):
+    """The nearest rows whatever number of blocks is searched as one, and no row sent to more groups than there are."""
+    n, sent = 400, []
+    monkeypatch.setattr(em, "BLOCK", -(-n // n_pivots))
+    monkeypatch.setattr(em, "TOGETHER", together)
+    checkpointed = em.checkpointed
+    monkeypatch.setattr(em, "checkpointed", lambda df: sent.append(checkpointed(df)) or sent[-1])
+    x = np.random.default_rng(2).normal(size=(n, 12))
+    x[-40:] = x[:40]
+    emb = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "cell_id long, v array<double>")
+    got = {}
+    for r in em.nearest(emb, 5).collect():
+        got.setdefault(r.cell_id, []).append((r.d, r.other))
+    asks = [df for df in sent if "to" in df.columns]
+    if together > 1:
+        assert len(asks) == 1 and (asks[0].groupBy("cell_id").count().agg({"count": "max"}).first()[0] or 0) <= -(-2 * n_pivots // together)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(n):
+        best = sorted(zip(d[i].tolist(), range(n), strict=True))[:5]
+        assert [o for _, o in sorted(got[i])] == [o for _, o in best]
