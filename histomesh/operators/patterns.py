@@ -211,24 +211,22 @@ def permutation_test(edges: DataFrame, clusters: DataFrame, n_permutations: int
     return _tested(sizes, null, seen, n_permutations, statistic)
 
 
-#: Points whose distances to all around them are held at once, and permutations that are counted at once, where permuted labels are counted in tiles.
-POINTS, REPS = 256, 100
+#: Points whose neighbours are summed up at once, and permutations that are counted at once, where permuted labels are counted in tiles.
+POINTS, REPS = 256, 64
 
 
-def _halves(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
-    """at in parts of at most POINTS that lie together."""
-    if len(at) <= POINTS:
-        yield at
-        return
-    v = x[at] if np.ptp(x[at]) >= np.ptp(y[at]) else y[at]
-    order, half = np.argpartition(v, len(at) // 2), len(at) // 2
-    yield from _halves(at[order[:half]], x, y)
-    yield from _halves(at[order[half:]], x, y)
+def _slots(i: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows below n by how many of i they are, most first, and the at of the first of each, of the second of each that has one, and so on."""
+    count = np.bincount(i, minlength=n)
+    rows, first = np.argsort(-count, kind="stable"), np.cumsum(count) - count
+    return rows, [at[first[rows[: np.count_nonzero(count > k)]] + k] for k in range(int(count.max(initial=0)))]
 
 
 def permutation_test_near(points: DataFrame, radius: float, n_permutations: int = 1000, statistic: str = "ratio", seed: int = 42) -> DataFrame:
-    """permutation_test() of the points (cell_id, x, y, cluster) at most radius apart, without a table of edges: in tiles, some points at a time, the labels around them
-    are counted for many permutations by one matrix product, several labels in the digits of one number (exact: below 2^24)."""
+    """permutation_test() of the points (cell_id, x, y, cluster) at most radius apart, without a table of edges. In tiles, points lie in columns; those around a point
+    and after it are a run of each column and a few more or less (Columns.onward), the same under every permutation, so their labels are differences of running sums, of many
+    permutations at once and several labels in the digits of one number (exact: sums wrap around, but what is left fits the digits). Every tile has the same columns
+    and order, so each pair is counted once."""
     if statistic not in ("ratio", "count"):
         raise ValueError("statistic must be ratio or count")
     named = points.where("cluster is not null").select(F.xxhash64(F.lit(seed), "cell_id").alias("h"), "cell_id", "x", "y", F.col("cluster").cast("string").alias("cluster"))
@@ -238,48 +236,74 @@ def permutation_test_near(points: DataFrame, radius: float, n_permutations: int
     last = _ends(named, ends, n, n_permutations, seed)
 
     def counted(table: pa.Table) -> pa.Table:
-        x, y, h = (table.column(c).to_numpy() for c in ("x", "y", "h"))
+        x, y, h, c = (table.column(k).to_numpy() for k in ("x", "y", "h", "c"))
+        home = table.column("home").to_numpy(zero_copy_only=False)
         m = np.zeros((n_permutations + 1, kinds, kinds), np.int64)
-        label = np.zeros((n_permutations + 1, len(x)), np.min_scalar_type(kinds))
-        label[n_permutations] = table.column("c").to_numpy()  # as seen
-        for rep in range(n_permutations):
-            dealt = _dealt(h, seed, rep)
-            for t in last[rep]:
-                label[rep] += dealt > t
-        for own in _halves(np.flatnonzero(table.column("home").to_numpy()), x, y):
-            if not len(own):
-                continue
-            room = radius * (1 + 1e-9)
-            near = np.flatnonzero((x >= x[own].min() - room) & (x <= x[own].max() + room) & (y >= y[own].min() - room) & (y <= y[own].max() + room))
-            there = np.sqrt((x[own, None] - x[near]) ** 2 + (y[own, None] - y[near]) ** 2) <= radius
-            there[np.arange(len(own)), np.searchsorted(near, own)] = False
-            degree = there.sum(axis=1)
+        if home.any():
+            keep = x >= x[home].min() - radius  # (what lies in a column before is met from there)
+            near = nr.Columns(x[keep], y[keep], radius, wide, 0.0, (h[keep], x[keep]))
+            h, c, own = h[keep][near.order], c[keep][near.order], np.flatnonzero(home[keep][near.order])
+            lo, hi, more, less = near.onward(own)
+            degree = (hi - lo).sum(axis=1) + np.bincount(more[0], minlength=len(own)) - np.bincount(less[0], minlength=len(own))
             bits = max(1, int(degree.max()).bit_length())
-            each, there = max(1, 24 // bits), there.T.astype(np.float32)
+            each, mask = max(1, min(kinds - 1, 64 // bits)), np.uint64((1 << bits) - 1)
+            parts = []
+            for at in range(0, len(own), POINTS):
+                some = [(i[slice(*np.searchsorted(i, [at, at + POINTS]))] - at, p[slice(*np.searchsorted(i, [at, at + POINTS]))]) for i, p in (more, less)]
+                one, two = np.ascontiguousarray(lo[at : at + POINTS].T), np.ascontiguousarray(hi[at : at + POINTS].T)
+                used = (one != two).any(axis=1)
+                parts.append((own[at : at + POINTS], degree[at : at + POINTS].astype(float), one[used], two[used], *[_slots(*z, len(one[0])) for z in some]))
             for at in range(0, n_permutations + 1, REPS):
-                around, mine = label[at : at + REPS, near], label[at : at + REPS, own]
-                reps = len(mine)
-                key = (mine + np.arange(reps)[:, None] * kinds).ravel()
-                add = lambda v, key=key, reps=reps: np.bincount(key, v.ravel(), reps * kinds).reshape(reps, kinds).astype(np.int64)
-                rest = add(np.broadcast_to(degree, mine.shape))
-                for first in range(0, kinds - 1, each):
+                reps = min(REPS, n_permutations + 1 - at)
+                label = np.zeros((reps, len(h)), np.min_scalar_type(kinds))
+                for rep in range(at, at + reps):
+                    if rep == n_permutations:
+                        label[rep - at] = c  # as seen
+                        continue
+                    dealt = _dealt(h, seed, rep)
+                    for t in last[rep]:
+                        label[rep - at] += dealt > t
+                label = np.ascontiguousarray(label.T)
+                for first in range(0, max(1, kinds - 1), each):
+                    digit = np.zeros(kinds + 1, np.uint64)
                     some = range(first, min(first + each, kinds - 1))
-                    digit = np.zeros(kinds, np.float32)
                     digit[list(some)] = [1 << bits * (k - first) for k in some]
-                    sums = (digit[around] @ there).astype(np.int32)
-                    for k in some:
-                        found = add(sums >> bits * (k - first) & (1 << bits) - 1)
-                        m[at : at + REPS, :, k] += found
-                        rest -= found
-                m[at : at + REPS, :, kinds - 1] += rest
-        m += m.transpose(0, 2, 1) * ~np.eye(kinds, dtype=bool)  # each pair is met from either end
+                    values = digit[label]
+                    upto = np.zeros((len(h) + 1, reps), np.uint64)
+                    for begin in range(0, len(h), POINTS):
+                        np.cumsum(values[begin : begin + POINTS], axis=0, out=upto[begin + 1 : begin + POINTS + 1][: len(values) - begin])
+                        upto[begin + 1 : begin + POINTS + 1] += upto[begin]
+                    for points_, n_, one, two, plus, minus in parts:
+                        sums, held = np.zeros((len(points_), reps), np.uint64), np.empty((len(points_), reps), np.uint64)
+                        for i, j in zip(one, two, strict=True):
+                            sums += np.take(upto, j, axis=0, out=held, mode="clip")
+                            sums -= np.take(upto, i, axis=0, out=held, mode="clip")
+                        for (rows_, slots), f in ((plus, np.add), (minus, np.subtract)):
+                            if slots:
+                                apart = np.zeros((len(slots[0]), reps), np.uint64)
+                                for p in slots:
+                                    apart[: len(p)] += np.take(values, p, axis=0, out=held[: len(p)], mode="clip")
+                                sums[rows_[: len(apart)]] = f(sums[rows_[: len(apart)]], apart)
+                        key = (label[points_] + np.arange(reps) * (kinds + 1)).ravel()
+                        add = lambda v, key=key, reps=reps: np.bincount(key, v.ravel(), reps * (kinds + 1)).reshape(reps, kinds + 1)[:, :kinds].astype(np.int64)
+                        if not first:
+                            m[at : at + reps, :, kinds - 1] += add(np.broadcast_to(n_[:, None], sums.shape))
+                        for k in some:
+                            found = add((sums >> np.uint64(bits * (k - first)) & mask).astype(np.int64))
+                            m[at : at + reps, :, k] += found
+                            m[at : at + reps, :, kinds - 1] -= found
+        m += m.transpose(0, 2, 1) * ~np.eye(kinds, dtype=bool)
         rep, a, b = np.nonzero(np.triu(m))
         return pa.table({"rep": rep, "x": a.astype(np.int32), "y": b.astype(np.int32), "n": m[rep, a, b]})
 
     rows = nr._placed(named).select("x", "y", "h", nr._code(names).alias("c"))
-    tile = max(nr.TILE, min(8 * nr.TILE, n // nr.TILES))
-    twice = nr._dealt(rows, radius, tile).groupBy("t").applyInArrow(counted, "rep long, x int, y int, n long")
-    both = checkpointed(twice.groupBy("rep", "x", "y").agg((F.sum("n") / 2).cast("long").alias("n")))  # rows: permutations by pairs of clusters
+    # columns as wide as suits the points' mean density: a run costs two sums
+    area = 12.0
+    for v in rows.agg(F.stddev_pop("x"), F.stddev_pop("y")).first():
+        area *= max(v or 0.0, radius / 4)
+    wide = int(np.clip(1 + 0.6 * math.sqrt(n * radius * radius / area), 1, 32))
+    once = nr._dealt(rows, radius, max(nr.TILE, min(8 * nr.TILE, n // nr.TILES))).groupBy("t").applyInArrow(counted, "rep long, x int, y int, n long")
+    both = checkpointed(once.groupBy("rep", "x", "y").agg(F.sum("n").alias("n")))  # rows: permutations by pairs of clusters
     place = points.sparkSession.createDataFrame(list(enumerate(names)), "i int, c string")
     seen = both.where(F.col("rep") == n_permutations)
     for c, k in (("x", "cluster_a"), ("y", "cluster_b")):
@@ -314,7 +338,9 @@ def _ends(named: DataFrame, ends: np.ndarray, n: int, n_permutations: int, seed:
         for b in batches:
             for rep in range(n_permutations):
                 h = _dealt(b["h"].to_numpy(), seed, rep)
-                h = h[np.isin((h >> shift).astype(np.int64), of[rep])]
+                ending = np.zeros(1 << bits, bool)
+                ending[of[rep]] = True
+                h = h[ending[(h >> shift).astype(np.int64)]]
                 yield pd.DataFrame({"rep": np.full(len(h), rep), "h": h.view(np.int64)})
 
     def ranked(rows: pd.DataFrame) -> pd.DataFrame:
